@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quaymark.functions.columns import message_id, micros, millis_floor, trimmed
 from quaymark.operators.changes import apply_changes
 from quaymark.operators.dedupe import keep_first, unseen
+from quaymark.operators.flatten import Child, Shape, flatten, two_decimals
 from quaymark.operators.reconcile import reconcile
 from quaymark.sources.tables import table
 
@@ -71,8 +72,33 @@ def p7_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _current(spark, sf_dir, ("sm_type", "state"))
 
 
+LINES = Shape((Child("lines", "sku", (Child("components", "sku"),)),))
+CLAIMED = Shape((Child("claimed", "amount", spell=two_decimals),))
+FILLS = Shape((Child("executions", None, (Child("fills", "fillId"),)),))
+
+
+def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    env = table(spark, sf_dir, "event_envelope")
+    orders = F.col("event_type") == "OrderCreateEvent"
+    claims = (F.col("sm_type") == "claim") & (F.col("event_type") == "file")
+    events = env.where(orders | claims).select("event_id", "sm_type", "event_type", "ingest_ts_millis", "delivery_id", "payload")
+    once = keep_first(events, message_id("event_id"), envelope_order(), key_name="id").where("id is not null")
+    feed = table(spark, sf_dir, "entity_snapshot").where("sm_type = 'gen_trading_order' and (state is not null or model_json is not null)")
+    newest = keep_first(
+        feed.select("entity_id", "version", "published_at", "topic_partition", "topic_offset", "model_json"), trimmed("entity_id"),
+        [-F.coalesce(F.col("version"), F.lit(0)), -micros("published_at"), -F.col("topic_partition"), -F.col("topic_offset")], key_name="id",
+    ).where("id is not null")
+    parts = [(once.where(orders), LINES), (once.where(claims), CLAIMED)]
+    rows = [flatten(d, F.col("id"), F.col("payload"), shape) for d, shape in parts] + [flatten(newest, F.col("id"), F.col("model_json"), FILLS)]
+    return rows[0].unionAll(rows[1]).unionAll(rows[2])
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(spark, sf_dir).select("record_id", "child_path", "idx", "item")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p4_found, p4_deliveries, p4_undispatched, p7_found, p7_state)}
+    return {f.__name__: f for f in (p1_found, p4_found, p4_deliveries, p4_undispatched, p6_found, p7_found, p7_state)}
 
 
 _PAD = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(160)"
