@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaymark.functions.columns import message_id, micros, millis_floor, trimmed
+from quaymark.operators import drift
 from quaymark.operators.changes import apply_changes
 from quaymark.operators.dedupe import keep_first, unseen
 from quaymark.operators.flatten import Child, Shape, flatten, two_decimals
@@ -24,7 +25,26 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.unionAll(versions).select(F.col("key").alias("workflow_id"), "finding")
 
 
-ENVELOPE_ORDER = ("ingest_ts_millis", "delivery_id")
+def _drift(spark: SparkSession, sf_dir: str) -> tuple[dict, dict]:
+    tables = drift.schemas(table(spark, sf_dir, "table_spec"))
+    feed = table(spark, sf_dir, "entity_snapshot")
+    shared = drift.shared_values(feed, tables, entity=trimmed("entity_id"), schema_hash=F.col("schema_hash"), version=F.col("version"), text=F.col("model_json"))
+    return tables, drift.scripts(tables, shared)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.changes_frame(spark, drift.changes(_drift(spark, sf_dir)[1]))
+
+
+def _unified(name: str):  # noqa: ANN202
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tables, found = _drift(spark, sf_dir)
+        feed = table(spark, sf_dir, "entity_snapshot")
+        system = {"entity_id": trimmed("entity_id"), "entity_version": F.coalesce("version", F.lit(0)).cast("bigint"), "sm_type": F.col("sm_type"), "sm_state": F.col("state"), "created_at": F.col("created_at"), "completed_at": F.col("completed_at"), "model_json": F.col("model_json")}
+        return drift.unified(feed, tables[name], found, system, schema_hash=F.col("schema_hash"), text=F.col("model_json"))
+
+    query.__doc__ = f"All content of {name}, whatever release wrote it, under one schema."
+    return query
 
 
 def envelope_order() -> list:
@@ -98,7 +118,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p4_found, p4_deliveries, p4_undispatched, p6_found, p7_found, p7_state)}
+    unified = {f"p3_{t}": _unified(t) for t in ("orders", "order_lines", "claims", "gen_trading_orders", "policies", "loans")}
+    return {"p3_found": p3_found} | unified | {f.__name__: f for f in (p1_found, p4_found, p4_deliveries, p4_undispatched, p6_found, p7_found, p7_state)}
 
 
 _PAD = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(160)"
