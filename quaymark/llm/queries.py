@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quaymark.llm import fills
+from quaymark.llm import fills, latency
 
-MODULES = (fills,)
+MODULES = (fills, latency)
 
 
 def queries() -> dict:
