@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quaymark.llm import fills, latency
+from quaymark.llm import fills, latency, leakage
 
-MODULES = (fills, latency)
+MODULES = (fills, latency, leakage)
 
 
 def queries() -> dict:
