@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quaymark.llm import fills, latency, leakage
+from quaymark.llm import fills, latency, leakage, reading
 
-MODULES = (fills, latency, leakage)
+MODULES = (fills, latency, leakage, reading)
 
 
 def queries() -> dict:
