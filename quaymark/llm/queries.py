@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quaymark.llm import fills, latency, leakage, reading
+from quaymark.llm import fills, latency, leakage, mixing, reading
 
-MODULES = (fills, latency, leakage, reading)
+MODULES = (fills, latency, leakage, mixing, reading)
 
 
 def queries() -> dict:
