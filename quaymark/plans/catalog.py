@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quaymark.plans import core_problems
+from quaymark.plans import core_problems, star
 
-MODULES = (core_problems,)
+MODULES = (star, core_problems)
 
 
 def queries() -> dict:
