@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quaymark.plans import core_problems, star
+from quaymark.plans import core_problems, domain, star
 
-MODULES = (star, core_problems)
+MODULES = (star, domain, core_problems)
 
 
 def queries() -> dict:

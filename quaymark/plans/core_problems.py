@@ -11,6 +11,7 @@ from quaymark.operators.changes import apply_changes
 from quaymark.operators.dedupe import keep_first, unseen
 from quaymark.operators.flatten import Child, Shape, flatten, two_decimals
 from quaymark.operators.reconcile import reconcile
+from quaymark.sources.envelopes import arrival_order
 from quaymark.sources.tables import table
 
 
@@ -47,29 +48,24 @@ def _unified(name: str):  # noqa: ANN202
     return query
 
 
-def envelope_order() -> list:
-    """Ingest time, 0 (unknown) last, then the delivery."""
-    return [F.when(F.col("ingest_ts_millis") != 0, F.col("ingest_ts_millis")), F.col("delivery_id")]
-
-
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     env = table(spark, sf_dir, "event_envelope").select("event_id", "ingest_ts_millis", "delivery_id")
     done = table(spark, sf_dir, "processed_event").select("event_id", micros("received_at").alias("us"))
-    a = keep_first(env, message_id("event_id"), envelope_order(), copies="n", key_name="id").where("n > 1 and id is not null")
+    a = keep_first(env, message_id("event_id"), arrival_order(), copies="n", key_name="id").where("n > 1 and id is not null")
     b = keep_first(done, message_id("event_id"), [F.col("us")], copies="n", key_name="id").where("n > 1 and id is not null")
     return a.select(F.lit("event_envelope").alias("origin"), F.col("id").alias("event_id"), F.col("delivery_id").alias("kept")).unionAll(b.select(F.lit("processed_event"), "id", "us"))
 
 
 def p4_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message of event_envelope once, whole."""
-    return keep_first(table(spark, sf_dir, "event_envelope"), message_id("event_id"), envelope_order(), copies="copies")
+    return keep_first(table(spark, sf_dir, "event_envelope"), message_id("event_id"), arrival_order(), copies="copies")
 
 
 def p4_undispatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of event_envelope that processed_event doesn't hold as dispatched, one copy of each."""
     env = table(spark, sf_dir, "event_envelope").select("event_id", "sm_type", "event_type", "ingest_ts_millis", "delivery_id")
     done = table(spark, sf_dir, "processed_event").where("status = 'DISPATCHED'")
-    left = unseen(env, message_id("event_id"), done, message_id("event_id"), envelope_order())
+    left = unseen(env, message_id("event_id"), done, message_id("event_id"), arrival_order())
     return left.select(message_id("event_id").alias("event_id"), "sm_type", "event_type", "delivery_id")
 
 
@@ -102,7 +98,7 @@ def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = F.col("event_type") == "OrderCreateEvent"
     claims = (F.col("sm_type") == "claim") & (F.col("event_type") == "file")
     events = env.where(orders | claims).select("event_id", "sm_type", "event_type", "ingest_ts_millis", "delivery_id", "payload")
-    once = keep_first(events, message_id("event_id"), envelope_order(), key_name="id").where("id is not null")
+    once = keep_first(events, message_id("event_id"), arrival_order(), key_name="id").where("id is not null")
     feed = table(spark, sf_dir, "entity_snapshot").where("sm_type = 'gen_trading_order' and (state is not null or model_json is not null)")
     newest = keep_first(
         feed.select("entity_id", "version", "published_at", "topic_partition", "topic_offset", "model_json"), trimmed("entity_id"),
