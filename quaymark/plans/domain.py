@@ -116,22 +116,22 @@ _BARS = """SELECT symbol, {start} AS bar_start,
   coalesce(arg_min(last, struct_pack(a := ts_millis, b := seq)) FILTER (last_size > 0 AND last IS NOT NULL), arg_min(mid, struct_pack(a := ts_millis, b := seq))) AS open,
   coalesce(max(last) FILTER (last_size > 0), max(mid)) AS high, coalesce(min(last) FILTER (last_size > 0), min(mid)) AS low,
   coalesce(arg_max(last, struct_pack(a := ts_millis, b := seq)) FILTER (last_size > 0 AND last IS NOT NULL), arg_max(mid, struct_pack(a := ts_millis, b := seq))) AS close,
-  coalesce(sum(last_size) FILTER (last_size > 0), 0) AS volume, round(CAST(sum(last * last_size) FILTER (last_size > 0) AS double) / nullif(sum(last_size) FILTER (last_size > 0), 0), 4) AS vwap,
+  coalesce(sum(last_size) FILTER (last_size > 0), 0) AS volume, round_even(CAST(sum(last * last_size) FILTER (last_size > 0) AS double) / nullif(sum(last_size) FILTER (last_size > 0), 0), 6) AS vwap,
   count(*) FILTER (last_size > 0) AS trades, count(*) AS ticks FROM """ + _TICKS + " GROUP BY 1, 2"
 
 
-def _rounded(d: DataFrame) -> DataFrame:
-    return d.withColumn("vwap", F.round(F.col("vwap").cast("double"), 4))
+def _doubled(d: DataFrame) -> DataFrame:
+    return d.withColumn("vwap", F.col("vwap").cast("double"))
 
 
 @query(_BARS.format(start="date_trunc('minute', tick_at)"))
 def bars_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_trade_bars(spark, sf_dir, _bin("at", "minute")))
+    return _doubled(_trade_bars(spark, sf_dir, _bin("at", "minute")))
 
 
 @query(_BARS.format(start="time_bucket(INTERVAL 5 MINUTE, tick_at)"))
 def bars_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_trade_bars(spark, sf_dir, F.window(F.col("at").cast("timestamp"), "5 minutes")["start"].cast("timestamp_ntz")))
+    return _doubled(_trade_bars(spark, sf_dir, F.window(F.col("at").cast("timestamp"), "5 minutes")["start"].cast("timestamp_ntz")))
 
 
 @query(f"SELECT symbol, sum(last_size) AS volume, round(CAST(sum(last * last_size) AS double) / nullif(sum(last_size), 0), 4) AS vwap, count(*) AS trades FROM {_TICKS} WHERE last_size > 0 GROUP BY 1")
