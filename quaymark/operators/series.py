@@ -27,7 +27,7 @@ def trade_bars(ticks: DataFrame, symbol: str, start: Column, at: Sequence[Column
     pick = lambda f, p: F.coalesce(f("__l", on_trade), p)
     return d.groupBy("symbol", "bar_start").agg(
         pick(F.min_by, F.min_by("__m", "__o")).alias("open"), F.coalesce(F.max("__l"), F.max("__m")).alias("high"), F.coalesce(F.min("__l"), F.min("__m")).alias("low"), pick(F.max_by, F.max_by("__m", "__o")).alias("close"),
-        F.coalesce(F.sum("__s"), F.lit(0)).alias("volume"), F.bround(F.sum(F.col("__l") * F.col("__s")) / F.nullif(F.sum("__s"), F.lit(0)), 6).alias("vwap"), F.count("__s").alias("trades"), F.count(F.lit(1)).alias("ticks"),
+        F.coalesce(F.sum("__s"), F.lit(0)).alias("volume"), F.sum(F.col("__l") * F.col("__s")).alias("notional"), F.bround(F.sum(F.col("__l") * F.col("__s")) / F.nullif(F.sum("__s"), F.lit(0)), 6).alias("vwap"), F.count("__s").alias("trades"), F.count(F.lit(1)).alias("ticks"),
     )
 
 
