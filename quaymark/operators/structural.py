@@ -117,9 +117,13 @@ class Index:
         slash = buf == 0x5C
         if slash.any():
             at = np.arange(n, dtype=np.int64)
-            last_other = np.maximum.accumulate(np.where(slash, -1, at))
+            other = np.where(slash, -1, at)
+            heads = offsets[:-1][lengths > 0]
+            other[heads] = np.maximum(other[heads], heads - 1)  # a run doesn't reach back into another text
+            last_other = np.maximum.accumulate(other)
             run = np.zeros(n, np.int64)
             run[1:] = at[:-1] - last_other[:-1]
+            run[heads] = 0
             quote &= run % 2 == 0
             self._escapes = np.flatnonzero(slash & (run % 2 == 0))
         else:
