@@ -91,8 +91,8 @@ def quantile(s: Summary, p: float) -> float | None:
     return float(v[np.argmin(np.maximum(hi - r, r - lo))])
 
 
-_FIELDS = [("v", pa.list_(pa.float64())), ("lo", pa.list_(pa.int64())), ("hi", pa.list_(pa.int64())), ("n", pa.int64())]
-_DDL = "v array<double>, lo array<bigint>, hi array<bigint>, n bigint"
+_FIELDS = [("_v", pa.list_(pa.float64())), ("_lo", pa.list_(pa.int64())), ("_hi", pa.list_(pa.int64())), ("_n", pa.int64())]
+_DDL = "_v array<double>, _lo array<bigint>, _hi array<bigint>, _n bigint"
 
 
 def _ddl(df: DataFrame, by: Sequence[str]) -> str:
@@ -101,7 +101,7 @@ def _ddl(df: DataFrame, by: Sequence[str]) -> str:
 
 
 def summarize(df: DataFrame, by: Sequence[str], value: str, size: int = SIZE) -> DataFrame:
-    """Summaries (by..., slice, v, lo, hi, n) of the values of each group, one or more per group and task.
+    """Summaries (by..., _slice, _v, _lo, _hi, _n) of the values of each group, one or more per group and task.
 
     Nulls, NaN and infinite values are no values; groups without values give no row, a null in
     `by` is a group. Other columns aren't read.
@@ -109,7 +109,7 @@ def summarize(df: DataFrame, by: Sequence[str], value: str, size: int = SIZE) ->
     by = list(by)
     d = df.select(*[F.col(f"`{b}`") for b in by], F.col(f"`{value}`").cast("double").alias("__v")).where("__v is not null and not isnan(__v) and abs(__v) < double('Infinity')")
     kinds = {f.name: f.dataType for f in d.schema.fields}
-    out = _ddl(d, by) + "slice int, " + _DDL
+    out = _ddl(d, by) + "_slice int, " + _DDL
     from pyspark.sql.pandas.types import to_arrow_type
 
     key_types = [(b, to_arrow_type(kinds[b])) for b in by]
@@ -126,7 +126,7 @@ def summarize(df: DataFrame, by: Sequence[str], value: str, size: int = SIZE) ->
                 keys, ss = list(held), [merge(x, size) for x in held.values()]
                 cols = [pa.array([k[i] for k in keys], t) for i, (_, t) in enumerate(key_types)]
                 cols += [pa.array([part] * len(keys), pa.int32())] + [pa.array([s[i] for s in ss], t) for i, (_, t) in enumerate(_FIELDS)]
-                yield pa.RecordBatch.from_arrays(cols, [b for b, _ in key_types] + ["slice"] + [f for f, _ in _FIELDS])
+                yield pa.RecordBatch.from_arrays(cols, [b for b, _ in key_types] + ["_slice"] + [f for f, _ in _FIELDS])
                 held.clear()
 
         for b in batches:
@@ -173,30 +173,32 @@ def combine(summaries: DataFrame, by: Sequence[str], size: int = SIZE, fan: int
     from pyspark.sql import types as T
 
     def level(d: DataFrame, keys: list[str]) -> DataFrame:
-        out = T.StructType([d.schema[k] for k in keys] + [d.schema[c] for c in ("v", "lo", "hi", "n")])
+        out = T.StructType([d.schema[k] for k in keys] + [d.schema[c] for c in ("_v", "_lo", "_hi", "_n")])
 
         def join(pdf: pd.DataFrame) -> pd.DataFrame:
-            s = merge([(np.asarray(v, np.float64), np.asarray(lo, np.int64), np.asarray(hi, np.int64), int(n)) for v, lo, hi, n in zip(pdf["v"], pdf["lo"], pdf["hi"], pdf["n"])], size)
-            row = {k: [pdf[k].iloc[0]] for k in keys} | {"v": [s[0]], "lo": [s[1]], "hi": [s[2]], "n": [s[3]]}
+            s = merge([(np.asarray(v, np.float64), np.asarray(lo, np.int64), np.asarray(hi, np.int64), int(n)) for v, lo, hi, n in zip(pdf["_v"], pdf["_lo"], pdf["_hi"], pdf["_n"])], size)
+            row = {k: [pdf[k].iloc[0]] for k in keys} | {"_v": [s[0]], "_lo": [s[1]], "_hi": [s[2]], "_n": [s[3]]}
             return pd.DataFrame(row)
 
         return d.groupBy(*keys).applyInPandas(join, out)
 
     cols = [F.col(f"`{b}`") for b in by]
-    first = summaries.select(*cols, F.floor(F.col("slice") / fan).cast("int").alias("slice"), "v", "lo", "hi", "n")
-    out = level(first, [*by, "slice"])
+    first = summaries.select(*cols, F.floor(F.col("_slice") / fan).cast("int").alias("_slice"), "_v", "_lo", "_hi", "_n")
+    out = level(first, [*by, "_slice"])
     return level(out, by) if by else level(out.withColumn("__all", F.lit(1)), ["__all"]).drop("__all")
 
 
 def percentiles(summaries: DataFrame, by: Sequence[str], ps: Sequence[float]) -> DataFrame:
     """(by..., n, p, value, rank_error): rank_error is the share of n that the value's rank can be off at most."""
     by = list(by)
+    if {"n", "p", "value", "rank_error"} & set(by):
+        raise ValueError("n, p, value and rank_error are names of the result")
     out = _ddl(summaries, by) + "n bigint, p double, value double, rank_error double"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            ss = [(np.asarray(v, np.float64), np.asarray(lo, np.int64), np.asarray(hi, np.int64), int(n)) for v, lo, hi, n in zip(pdf["v"], pdf["lo"], pdf["hi"], pdf["n"])]
-            rep = pdf[by + ["n"]].loc[pdf.index.repeat(len(ps))].reset_index(drop=True)
+            ss = [(np.asarray(v, np.float64), np.asarray(lo, np.int64), np.asarray(hi, np.int64), int(n)) for v, lo, hi, n in zip(pdf["_v"], pdf["_lo"], pdf["_hi"], pdf["_n"])]
+            rep = pdf[by + ["_n"]].rename(columns={"_n": "n"}).loc[pdf.index.repeat(len(ps))].reset_index(drop=True)
             rep["p"] = list(ps) * len(pdf)
             rep["value"] = [quantile(s, p) for s in ss for p in ps]
             rep["rank_error"] = [rank_error(s) / s[3] for s in ss for _ in ps]

@@ -203,7 +203,7 @@ def spoken(text: str | None) -> list[Word]:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     if "&" in text:
         text = unescape(text)
-    text = "\x1e".join(_cues(text))
+    text = "\n\x1e\n".join(_cues(text))
     if "<" in text or "{" in text:
         text = _MARKUP.sub("", text)
     text = _SOUND.sub(" ", text)
