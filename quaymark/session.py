@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -42,9 +44,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
+@atexit.register
+def _drop_written() -> None:
+    """Tables written by this driver go when it ends; on other file systems than the local one the cluster's own expiry does that."""
+    for path in _WRITTEN:
+        local = path.removeprefix("file:")
+        if local.startswith("/"):
+            shutil.rmtree("/" + local.lstrip("/"), ignore_errors=True)
+
+
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     """Write df once to the shared folder and read it back: cuts the lineage and survives a lost executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
