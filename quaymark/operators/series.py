@@ -36,22 +36,77 @@ def vwap(price: Column, size: Column) -> Column:
     return F.sum(price * size) / F.nullif(F.sum(size), F.lit(0))
 
 
-def trailing(value: Column, by: Sequence[str], us: str, width_us: int) -> Column:
-    """The sum over the rows of the key whose time is within width_us before the row, the row's own time included."""
-    return F.sum(value).over(Window.partitionBy(*by).orderBy(us).rangeBetween(-width_us, 0))
+#: Width of a block of time in microseconds: an hour.
+BLOCK_US = 3_600_000_000
 
+#: How a running figure of a block and that of all blocks before it go together.
+_JOINED = {"sum": lambda now, was: F.coalesce(was, F.lit(0)) + F.coalesce(now, F.lit(0)), "count": lambda now, was: F.coalesce(was, F.lit(0)) + now, "max": F.greatest, "min": F.least}
 
-def lifetimes(df: DataFrame, by: Sequence[str], us: Column, is_start: Column, is_end: Column, tie: Sequence[Column] = ()) -> DataFrame:
-    """(by..., started_us, ended_us): each start with the first end at or after it, before the next start."""
-    w = Window.partitionBy(*by).orderBy("__us", *tie)
-    d = df.select("*", us.alias("__us")).where(is_start | is_end)
-    d = d.withColumn("__seg", F.sum(F.when(is_start, 1).otherwise(0)).over(w))
-    return d.where("__seg > 0").groupBy(*by, "__seg").agg(F.min(F.when(is_start, F.col("__us"))).alias("started_us"), F.min(F.when(is_end, F.col("__us"))).alias("ended_us")).drop("__seg")
 
+def _block(c: Column, width: int) -> Column:
+    return F.floor(c / F.lit(width)).cast("bigint")
 
-def counter_rate(df: DataFrame, by: Sequence[str], sec: Column, value: Column) -> DataFrame:
-    """df with `rate` per second against the row before: null at the first and after a reset."""
-    w = Window.partitionBy(*by).orderBy("__sec")
-    d = df.withColumn("__sec", sec).withColumn("__v", value)
-    pv, ps = F.lag("__v").over(w), F.lag("__sec").over(w)
-    return d.withColumn("rate", F.when((F.col("__v") >= pv) & (F.col("__sec") > ps), (F.col("__v") - pv) / (F.col("__sec") - ps))).drop("__sec", "__v")
+
+def running(df: DataFrame, by: Sequence[str], at: Column, order: Sequence[Column], figures: dict[str, tuple[str, Column]], *, width: int = BLOCK_US, own: bool = True) -> DataFrame:
+    """df with running figures (name: (sum, count, max or min, value)) per key along (at, order), the row itself included or (own=False) not.
+
+    Blocks of `at` are run through each by itself; totals of the blocks before are added. A row without `at` comes before all others.
+    """
+    o = F.struct(at.alias("a"), *[c.alias(f"o{i}") for i, c in enumerate(order)])
+    d = df.withColumn("__b", F.coalesce(_block(at, width), F.lit(-(2**62)))).withColumn("__o", o)
+    w = Window.partitionBy(*by, "__b").orderBy("__o").rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    f = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
+    d = d.withColumns({f"__n_{n}": f[k](v).over(w) for n, (k, v) in figures.items()})
+    totals = d.groupBy(*by, "__b").agg(*[f[k](v).alias(f"__t_{n}") for n, (k, v) in figures.items()])
+    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    again = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
+    prior = totals.select(*by, "__b", *[again[k](f"__t_{n}").over(before).alias(f"__p_{n}") for n, (k, _) in figures.items()])
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in (*by, "__b")]
+    j = d.alias("x").join(prior.alias("y"), same)
+    return j.select(*[F.col(f"x.`{c}`") for c in df.columns], *[_JOINED[k](F.col(f"__n_{n}"), F.col(f"__p_{n}")).alias(n) for n, (k, _) in figures.items()])
+
+
+def trailing(df: DataFrame, by: Sequence[str], us: Column, width_us: int, figures: dict[str, Column]) -> DataFrame:
+    """df with sums (name: value) over the rows of the key whose time is within width_us before the row's, rows of the same time included. Rows without time have no figures.
+
+    Each row is sent to its own block of time and to the next, so a block holds all its rows look back to.
+    """
+    d = df.withColumn("__us", us)
+    block = _block(F.col("__us"), max(width_us, 1))
+    halo = d.withColumn("__b", F.explode(F.when(F.col("__us").isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(F.array(block, block + 1))))
+    w = Window.partitionBy(*by, "__b").orderBy("__us").rangeBetween(-width_us, 0)
+    out = halo.withColumns({n: F.sum(v).over(w) for n, v in figures.items()})
+    return out.where(F.col("__b").isNull() | (F.col("__b") == block)).select(*df.columns, *[F.when(F.col("__us").isNotNull(), F.col(n)).alias(n) for n in figures])
+
+
+def lifetimes(df: DataFrame, by: Sequence[str], us: Column, is_start: Column, is_end: Column, tie: Sequence[Column] = (), width: int = BLOCK_US) -> DataFrame:
+    """(by..., started_us, ended_us): each start with the first end at or after it, before the next start.
+
+    Blocks of time are cut into segments each by itself; a segment left open at a block's end is closed
+    by an end with which the key's next block begins.
+    """
+    d = df.select(*by, us.alias("__us"), is_start.alias("__s"), is_end.alias("__e"), *[t.alias(f"__t{i}") for i, t in enumerate(tie)]).where("(__s or __e) and __us is not null")
+    d = d.withColumn("__b", _block(F.col("__us"), width))
+    w = Window.partitionBy(*by, "__b").orderBy("__us", *[f"__t{i}" for i in range(len(tie))])
+    d = d.withColumn("__seg", F.sum(F.when(F.col("__s"), 1).otherwise(0)).over(w))
+    segs = d.groupBy(*by, "__b", "__seg").agg(F.min(F.when(F.col("__s"), F.col("__us"))).alias("started_us"), F.min(F.when(F.col("__e"), F.col("__us"))).alias("ended_us"))
+    blocks = segs.groupBy(*by, "__b").agg(F.max("__seg").alias("__last"), F.min(F.when(F.col("__seg") == 0, F.col("ended_us"))).alias("__first_end"))
+    nxt = blocks.select(*by, "__b", F.col("__last").alias("__seg"), F.lead("__first_end").over(Window.partitionBy(*by).orderBy("__b")).alias("__carried"))
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in (*by, "__b", "__seg")]
+    j = segs.alias("x").join(nxt.where("__carried is not null").alias("y"), same, "left").where("x.__seg > 0")
+    return j.select(*[F.col(f"x.`{c}`") for c in by], "started_us", F.coalesce("ended_us", "__carried").alias("ended_us"))
+
+
+def counter_rate(df: DataFrame, by: Sequence[str], sec: Column, value: Column, width: int = 3600) -> DataFrame:
+    """df with `rate` per second against the row before: null at the first and after a reset. The row before a block's first is the last of the block before."""
+    row = F.struct(sec.alias("s"), value.alias("v"))
+    d = df.withColumn("__b", _block(sec, width)).withColumn("__r", row)
+    w = Window.partitionBy(*by, "__b").orderBy("__r")
+    d = d.withColumn("__p", F.lag("__r").over(w))
+    last = d.groupBy(*by, "__b").agg(F.max("__r").alias("__l"))
+    prior = last.select(*by, "__b", F.lag("__l").over(Window.partitionBy(*by).orderBy("__b")).alias("__c"))
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in (*by, "__b")]
+    j = d.alias("x").join(prior.alias("y"), same).withColumn("__p", F.coalesce("__p", "__c"))
+    r, p = F.col("__r"), F.col("__p")
+    rate = F.when((r["v"] >= p["v"]) & (r["s"] > p["s"]), (r["v"] - p["v"]) / (r["s"] - p["s"]))
+    return j.select(*[F.col(f"x.`{c}`") for c in df.columns], rate.alias("rate"))

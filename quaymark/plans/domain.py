@@ -148,9 +148,8 @@ def spread_by_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT symbol, seq, sum(last_size) OVER w AS volume_1m, count(*) OVER w AS n FROM {_TICKS} WINDOW w AS (PARTITION BY symbol ORDER BY ts_millis RANGE BETWEEN 60000 PRECEDING AND CURRENT ROW)")
 def rolling_volume_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = ticks(spark, sf_dir)
-    w = lambda c: series.trailing(c, ["symbol"], "ts_millis", 60_000)
-    return t.select("symbol", "seq", w(F.col("last_size")).alias("volume_1m"), w(F.lit(1)).alias("n"))
+    d = series.trailing(ticks(spark, sf_dir), ["symbol"], F.col("ts_millis") * 1000, 60_000_000, {"volume_1m": F.col("last_size"), "n": F.lit(1)})
+    return d.select("symbol", "seq", "volume_1m", "n")
 
 
 @query(f"""SELECT symbol, round((CAST(last_mid AS double) - CAST(first_mid AS double)) / CAST(first_mid AS double) * 100, 6) AS move_pct FROM (SELECT symbol, arg_max(mid, struct_pack(a := ts_millis, b := seq)) AS last_mid, arg_min(mid, struct_pack(a := ts_millis, b := seq)) AS first_mid FROM {_TICKS} GROUP BY 1)

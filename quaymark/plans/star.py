@@ -13,6 +13,9 @@ from quaymark.operators.asof import asof_join
 from quaymark.operators.latest import first_by, latest_by, versioned_upsert
 from quaymark.sources.tables import table
 
+#: A day in microseconds.
+_DAY = 86_400_000_000
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -149,9 +152,8 @@ def bars_6h_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id, user_id, round(sum(value * event_id) OVER w / nullif(sum(event_id) OVER w, 0), 4) AS rolling_vwap, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW)""")
 def rolling_vwap_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("us", micros("ts"))
-    t = lambda c: series.trailing(c, ["user_id"], "us", 86_400_000_000)
-    return e.select("event_id", "user_id", F.round(t(F.col("value") * F.col("event_id")) / F.nullif(t(F.col("event_id")), F.lit(0)), 4).alias("rolling_vwap"), t(F.lit(1)).alias("n"))
+    e = series.trailing(table(spark, sf_dir, "events"), ["user_id"], micros("ts"), 86_400_000_000, {"pq": F.col("value") * F.col("event_id"), "q": F.col("event_id"), "n": F.lit(1)})
+    return e.select("event_id", "user_id", F.round(F.col("pq") / F.nullif(F.col("q"), F.lit(0)), 4).alias("rolling_vwap"), "n")
 
 
 @query("""SELECT c_mktsegment, c_custkey, spent, rn FROM (SELECT c_mktsegment, c_custkey, round(sum(o_totalprice), 2) AS spent, row_number() OVER (PARTITION BY c_mktsegment ORDER BY round(sum(o_totalprice), 2) DESC, c_custkey) AS rn
@@ -299,14 +301,14 @@ def unnest_with_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, event_id FROM (SELECT user_id, event_id, value, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM events) WHERE value < top")
 def out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, sf_dir, "events").withColumn("top", F.max("value").over(w)).where("value < top").select("user_id", "event_id")
+    d = series.running(table(spark, sf_dir, "events"), ["user_id"], micros("ts"), [F.col("event_id")], {"top": ("max", F.col("value"))}, width=_DAY, own=False)
+    return d.where("value < top").select("user_id", "event_id")
 
 
 @query("SELECT user_id, event_id, row_number() OVER w AS seq, round(sum(value) OVER w, 4) AS running FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def running_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select("user_id", "event_id", F.row_number().over(w).alias("seq"), F.round(F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), 4).alias("running"))
+    d = series.running(table(spark, sf_dir, "events"), ["user_id"], micros("ts"), [F.col("event_id")], {"seq": ("count", F.lit(1)), "total": ("sum", F.col("value"))}, width=_DAY)
+    return d.select("user_id", "event_id", "seq", F.round("total", 4).alias("running"))
 
 
 @query("SELECT o_orderkey, o_totalprice, abs(o_totalprice - 100000) AS far FROM orders ORDER BY abs(o_totalprice - 100000) DESC, o_orderkey LIMIT 20")
