@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaymark.session import materialize
+
 STRETCHES = 64
 
 #: Rank (from 0) of percentile p among n values, by rule.
@@ -25,8 +27,13 @@ RULES = {
 
 def at_ranks(df: DataFrame, by: Sequence[str], value: Column, ps: Sequence[float], rule: str, stretches: int = STRETCHES) -> DataFrame:
     """(by..., n, p, value): the value at each percentile's rank by `rule`. Nulls and NaN are no values; groups without values give no row."""
+    return _at(df, by, value, ps, [rule], stretches).drop("rule")
+
+
+def _at(df: DataFrame, by: Sequence[str], value: Column, ps: Sequence[float], rules: Sequence[str], stretches: int = STRETCHES) -> DataFrame:
     by = list(by)
     counted = df.select(*by, value.alias("v")).where("v is not null and not isnan(v)").groupBy(*by, "v").agg(F.count(F.lit(1)).alias("c"))
+    counted = materialize(counted, "counted")  # it is read three times
     cut = [i / stretches for i in range(1, stretches)]
     size = counted.groupBy(*by).agg(F.sum("c").alias("n"), F.percentile_approx("v", cut, 10000).alias("cuts"))
     same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in by]
@@ -35,23 +42,24 @@ def at_ranks(df: DataFrame, by: Sequence[str], value: Column, ps: Sequence[float
     d = near.select(*[F.col(f"a.{k}").alias(k) for k in by], "v", "c", "n", place)
     sums = d.groupBy(*by, "s").agg(F.sum("c").alias("t"), F.first("n").alias("n"))
     before = sums.withColumn("before", F.sum("t").over(Window.partitionBy(*by).orderBy("s")) - F.col("t"))
-    want = before.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in ps]))).withColumn("r", RULES[rule](F.col("p"), F.col("n")).cast("bigint"))
-    want = want.where("r >= before and r < before + t").select(*by, "s", "n", "p", "r", "before")
+    asked = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(rule).alias("rule"), RULES[rule](F.lit(float(p)), F.col("n")).cast("bigint").alias("r")) for p in ps for rule in rules])
+    want = before.select("*", F.inline(asked)).where("r >= before and r < before + t").select(*by, "s", "n", "p", "rule", "r", "before")
     w = Window.partitionBy(*by, "s").orderBy("v")
     inside = d.alias("d").join(want.select(*by, "s").distinct().alias("q"), [*same("d", "q"), F.col("d.s") == F.col("q.s")], "left_semi")
     inside = inside.withColumn("upto", F.sum("c").over(w))
     out = want.alias("w").join(inside.alias("i"), [*same("w", "i"), F.col("w.s") == F.col("i.s")])
     hit = (F.col("w.r") >= F.col("w.before") + F.col("i.upto") - F.col("i.c")) & (F.col("w.r") < F.col("w.before") + F.col("i.upto"))
-    return out.where(hit).select(*[F.col(f"w.{k}").alias(k) for k in by], F.col("w.n").alias("n"), F.col("w.p").alias("p"), F.col("i.v").alias("value"))
+    return out.where(hit).select(*[F.col(f"w.{k}").alias(k) for k in by], F.col("w.n").alias("n"), F.col("w.p").alias("p"), F.col("w.rule").alias("rule"), F.col("i.v").alias("value"))
 
 
 def interpolated(df: DataFrame, by: Sequence[str], value: Column, ps: Sequence[float]) -> DataFrame:
     """(by..., n, p, value): between the two values around rank p (n - 1), in proportion."""
-    lo = at_ranks(df, by, value, ps, "lower").withColumnRenamed("value", "lo")
-    hi = at_ranks(df, by, value, ps, "upper").withColumnRenamed("value", "hi")
-    cond = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in by] + [F.col("a.p") == F.col("b.p")]
-    at = F.col("a.p") * (F.col("a.n") - 1)
-    return lo.alias("a").join(hi.alias("b"), cond).select(*[F.col(f"a.{k}").alias(k) for k in by], F.col("a.n").alias("n"), F.col("a.p").alias("p"), (F.col("lo") + (F.col("hi") - F.col("lo")) * (at - F.floor(at))).alias("value"))
+    both = _at(df, by, value, ps, ["lower", "upper"])
+    of = lambda r: F.max(F.when(F.col("rule") == r, F.col("value")))
+    pair = both.groupBy(*by, "n", "p").agg(of("lower").alias("lo"), of("upper").alias("hi"))
+    at = F.col("p") * (F.col("n") - 1)
+    return pair.select(*by, "n", "p", (F.col("lo") + (F.col("hi") - F.col("lo")) * (at - F.floor(at))).alias("value"))
+
 
 
 def wide(df: DataFrame, by: Sequence[str], names: dict[float, str]) -> DataFrame:
