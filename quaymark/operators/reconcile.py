@@ -33,27 +33,31 @@ def _latest(df: DataFrame, key: Column, version: Column, fields: dict[str, Colum
     return d.select("key", "row", F.xxhash64("key", *parts).alias("sum"), F.xxhash64(F.lit("place"), "key").alias("place"))
 
 
-def _leaves(side: DataFrame, bits: int) -> DataFrame:
-    return side.groupBy(F.shiftrightunsigned("place", 64 - bits).alias("leaf")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor("sum").alias("x"), F.sum(F.col("sum").bitwiseAND(F.lit(0xFFFFFFFF))).alias("s"))
+_SUMS = ("n0", "x0", "s0", "n1", "x1", "s1")
+_DIFFER = "n0 <> n1 or x0 <> x1 or s0 <> s1"
+
+
+def _leaves(sides: DataFrame, bits: int) -> DataFrame:
+    """Count, exclusive or and sum of the checksums per leaf range, of either side."""
+    of = lambda k, c: F.when(F.col("side") == k, c)
+    low = F.col("sum").bitwiseAND(F.lit(0xFFFFFFFF))
+    figures = [g for k in (0, 1) for g in (F.count(of(k, F.lit(1))).alias(f"n{k}"), F.coalesce(F.bit_xor(of(k, F.col("sum"))), F.lit(0)).alias(f"x{k}"), F.coalesce(F.sum(of(k, low)), F.lit(0)).alias(f"s{k}"))]
+    return sides.groupBy(F.shiftrightunsigned("place", 64 - bits).alias("leaf")).agg(*figures)
 
 
 def _level(leaves: DataFrame, shift: int) -> DataFrame:
-    return leaves.groupBy(F.shiftrightunsigned("leaf", shift).alias("range")).agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.sum("s").alias("s"))
+    add = {"n": F.sum, "x": F.bit_xor, "s": F.sum}
+    return leaves.groupBy(F.shiftrightunsigned("leaf", shift).alias("range")).agg(*[add[c[0]](c).alias(c) for c in _SUMS])
 
 
-def differing_ranges(left: DataFrame, right: DataFrame, bits: int, step: int = STEP) -> DataFrame:
+def differing_ranges(sides: DataFrame, bits: int, step: int = STEP) -> DataFrame:
     """The leaf ranges (column leaf) whose checksums differ, found from the top."""
-    a, b = (materialize(_leaves(x, bits), "leaves") for x in (left, right))
-    depths = [*range(step, bits, step), bits]
-    for depth in depths:
-        x, y = (_level(t, bits - depth) for t in (a, b))
-        same = (F.col("a.n") == F.col("b.n")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.s") == F.col("b.s"))
-        open_ranges = x.alias("a").join(y.alias("b"), "range", "full").where(~F.coalesce(same, F.lit(False))).select("range")
-        if depth == bits:
-            return open_ranges.withColumnRenamed("range", "leaf")
+    leaves = materialize(_leaves(sides, bits), "leaves")
+    for depth in range(step, bits, step):
+        open_ranges = _level(leaves, bits - depth).where(_DIFFER).select("range")
         # Only what lies in an open range goes on.
-        a, b = (t.join(open_ranges, F.shiftrightunsigned("leaf", bits - depth) == F.col("range"), "left_semi") for t in (a, b))
-    raise AssertionError
+        leaves = leaves.join(open_ranges, F.shiftrightunsigned("leaf", bits - depth) == F.col("range"), "left_semi")
+    return leaves.where(_DIFFER).select("leaf")
 
 
 def reconcile(left: DataFrame, right: DataFrame, *, key: Column, version: Column, fields: dict[str, Column], json_fields: Sequence[str] = (), missing_right: str | None = "missing_right", missing_left: str | None = "missing_left", right_key: Column | None = None, right_version: Column | None = None, right_fields: dict[str, Column] | None = None, leaf_rows: int = LEAF_ROWS) -> DataFrame:
@@ -64,16 +68,16 @@ def reconcile(left: DataFrame, right: DataFrame, *, key: Column, version: Column
     as JSON values. A finding named None isn't reported. right_*: where the right side spells it
     otherwise. Empty sides give only missing rows; other columns of the tables aren't read.
     """
-    a = materialize(_latest(left, key, version, fields, json_fields), "side")
-    b = materialize(_latest(right, right_key if right_key is not None else key, right_version if right_version is not None else version, right_fields or fields, json_fields), "side")
-    rows = max(a.count(), b.count())
-    bits = min(48, max(STEP, (max(rows, 1) // leaf_rows).bit_length()))
-    leaves = differing_ranges(a, b, bits)
-    at = F.shiftrightunsigned("place", 64 - bits)
+    a = _latest(left, key, version, fields, json_fields).withColumn("side", F.lit(0))
+    b = _latest(right, right_key if right_key is not None else key, right_version if right_version is not None else version, right_fields or fields, json_fields).withColumn("side", F.lit(1))
+    sides = materialize(a.unionByName(b), "sides")
+    rows = max(sides.count() // 2, 1)
+    bits = min(48, max(STEP, (rows // leaf_rows).bit_length()))
+    leaves = differing_ranges(sides, bits)
     # The rows of the differing leaves of both sides, in one shuffle by key.
-    x = a.join(leaves, at == F.col("leaf"), "left_semi").select("key", F.struct("sum", "row").alias("a"))
-    y = b.join(leaves, at == F.col("leaf"), "left_semi").select("key", F.struct("sum", "row").alias("b"))
-    pair = x.join(y, "key", "full").where("a is null or b is null or a.sum <> b.sum")
+    near = sides.join(leaves, F.shiftrightunsigned("place", 64 - bits) == F.col("leaf"), "left_semi")
+    of = lambda k: F.max(F.when(F.col("side") == k, F.struct("sum", "row")))  # noqa: E731 (one row a side and key)
+    pair = near.groupBy("key").agg(of(0).alias("a"), of(1).alias("b")).where("a is null or b is null or a.sum <> b.sum")
     checks = []
     for n in fields:
         u, v = F.col("a.row")[n], F.col("b.row")[n]
