@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from quaymark.session import materialize
 
 STRETCHES = 64
+#: Distinct values, of all groups together, that are counted through without stretches.
+SMALL = 500_000
 
 #: Rank (from 0) of percentile p among n values, by rule.
 RULES = {
@@ -30,10 +32,16 @@ def at_ranks(df: DataFrame, by: Sequence[str], value: Column, ps: Sequence[float
     return _at(df, by, value, ps, [rule], stretches).drop("rule")
 
 
-def _at(df: DataFrame, by: Sequence[str], value: Column, ps: Sequence[float], rules: Sequence[str], stretches: int = STRETCHES) -> DataFrame:
+def _at(df: DataFrame, by: Sequence[str], value: Column, ps: Sequence[float], rules: Sequence[str], stretches: int = STRETCHES, small: int | None = None) -> DataFrame:
+    small = SMALL if small is None else small
     by = list(by)
     counted = df.select(*by, value.alias("v")).where("v is not null and not isnan(v)").groupBy(*by, "v").agg(F.count(F.lit(1)).alias("c"))
     counted = materialize(counted, "counted")  # it is read three times
+    asked = lambda n: F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(rule).alias("rule"), RULES[rule](F.lit(float(p)), n).cast("bigint").alias("r")) for p in ps for rule in rules])
+    if counted.count() <= small:  # all groups' values together are few: one window counts through them
+        run = counted.withColumn("upto", F.sum("c").over(Window.partitionBy(*by).orderBy("v"))).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
+        each = run.select("*", F.inline(asked(F.col("n"))))
+        return each.where("r < upto and r >= upto - c").select(*by, "n", "p", "rule", F.col("v").alias("value"))
     cut = [i / stretches for i in range(1, stretches)]
     size = counted.groupBy(*by).agg(F.sum("c").alias("n"), F.percentile_approx("v", cut, 10000).alias("cuts"))
     same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in by]
@@ -42,8 +50,7 @@ def _at(df: DataFrame, by: Sequence[str], value: Column, ps: Sequence[float], ru
     d = near.select(*[F.col(f"a.{k}").alias(k) for k in by], "v", "c", "n", place)
     sums = d.groupBy(*by, "s").agg(F.sum("c").alias("t"), F.first("n").alias("n"))
     before = sums.withColumn("before", F.sum("t").over(Window.partitionBy(*by).orderBy("s")) - F.col("t"))
-    asked = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(rule).alias("rule"), RULES[rule](F.lit(float(p)), F.col("n")).cast("bigint").alias("r")) for p in ps for rule in rules])
-    want = before.select("*", F.inline(asked)).where("r >= before and r < before + t").select(*by, "s", "n", "p", "rule", "r", "before")
+    want = before.select("*", F.inline(asked(F.col("n")))).where("r >= before and r < before + t").select(*by, "s", "n", "p", "rule", "r", "before")
     w = Window.partitionBy(*by, "s").orderBy("v")
     inside = d.alias("d").join(want.select(*by, "s").distinct().alias("q"), [*same("d", "q"), F.col("d.s") == F.col("q.s")], "left_semi")
     inside = inside.withColumn("upto", F.sum("c").over(w))

@@ -30,7 +30,9 @@ def test_asof_against_brute_force(spark, strict):
         assert {x.id for x in inner.collect()} == {i for i, n in want.items() if n is not None}
 
 
-def test_percentiles(spark):
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_percentiles(spark, small, monkeypatch):
+    monkeypatch.setattr(ranks, "SMALL", small)
     rng = np.random.default_rng(0)
     data = {"a": rng.lognormal(size=3000).round(2), "b": np.array([5.0, 1.0, 3.0]), "c": np.full(500, 2.0)}
     rows = [(k, float(x)) for k, v in data.items() for x in v] + [("a", None), ("a", float("nan")), ("d", None)]
