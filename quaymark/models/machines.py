@@ -103,3 +103,70 @@ def machines(resolved: Resolved) -> dict[str, Machine]:
                 raise ModelError(f"{c.where}: {m.type} is declared by {out[m.type].cls} already")
             out[m.type] = m
     return out
+
+
+#: Retries an event may declare at most. A fixed value.
+MAX_RETRIES = 20
+
+
+@dataclass(frozen=True)
+class DeclaredEvent:
+    """An event class: where it is handled, what it locks, what it may emit, what happens to its errors."""
+
+    cls: str
+    name: str
+    domain: str
+    locks: tuple[str, ...]
+    emits: tuple[str, ...]
+    on_error: str
+    retries: int
+
+
+@dataclass(frozen=True)
+class DeclaredState:
+    cls: str
+    key: str
+
+
+def declared_events(resolved: Resolved) -> tuple[dict[str, DeclaredEvent], dict[str, DeclaredState]]:
+    """The events (by name) and keyed states (by class) of a model; checked: names, lock fields, emitted events, error policy, retries."""
+    events: dict[str, DeclaredEvent] = {}
+    states: dict[str, DeclaredState] = {}
+    for path, c in resolved.model.classes.items():
+        tag = lambda n: next((v for k, v in c.tags.items() if k.endswith(f"event.{n}")), None)  # noqa: B023, E731
+
+        def wrong(what: str) -> ModelError:
+            return ModelError(f"{c.where}: {path}: {what}")  # noqa: B023
+
+        fields = {p.name for p, _ in resolved.properties(path)}
+
+        def known(template: str) -> str:
+            lost = set(re.findall(r"\{(\w+)\}", template)) - fields  # noqa: B023
+            if lost:
+                raise wrong(f"no field for {template}: {', '.join(sorted(lost))}")  # noqa: B023
+            return template
+
+        if any(s.endswith("event.state") for s in c.stereotypes):
+            if not tag("key"):
+                raise wrong("a key is needed")
+            states[path] = DeclaredState(path, known(tag("key")))
+        if not any(s.endswith("event.event") for s in c.stereotypes):
+            continue
+        name = tag("name") or path.rpartition("::")[2]
+        if name in events:
+            raise wrong(f"{name} is declared by {events[name].cls} already")
+        if not tag("domain"):
+            raise wrong("a domain is needed")
+        retries = tag("retries") or "0"
+        if not retries.isdigit() or int(retries) > MAX_RETRIES:
+            raise wrong(f"retries from 0 to {MAX_RETRIES}: {retries}")
+        policy = (tag("onError") or "park").lower()
+        if policy not in ("park", "block"):
+            raise wrong(f"no policy: {policy}")
+        split = lambda t: tuple(x.strip() for x in (t or "").split(",") if x.strip())
+        events[name] = DeclaredEvent(path, name, tag("domain"), tuple(map(known, split(tag("locks")))), split(tag("emits")), policy, int(retries))
+    for e in events.values():
+        for target in e.emits:
+            if target not in events:
+                raise ModelError(f"{resolved.model.classes[e.cls].where}: {e.name} emits {target}, which isn't declared")
+    return events, states

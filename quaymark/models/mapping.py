@@ -70,6 +70,11 @@ def snake(name: str) -> str:
     return re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", name).lower()
 
 
+def event_type_name(name: str) -> str:
+    """The lifecycle type of an event class: OrderCreateEvent: evt_order_create_event; digits stand apart from the word after them."""
+    return "evt_" + re.sub(r"(?<=[a-z])(?=[A-Z])|(?<=[0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", name).lower()
+
+
 def plural(word: str) -> str:
     if re.search(r"[^aeiou]y$", word):
         return word[:-1] + "ies"
