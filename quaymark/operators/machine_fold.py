@@ -12,11 +12,15 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Rows a task hands on at once.
+_ROWS = 20_000
+
+
 @dataclass(frozen=True)
 class Transitions:
     """(state, event) to the next state; initial state; terminal states."""
@@ -57,49 +61,70 @@ def replay(events: DataFrame, key: Column, event: Column, order: Sequence[Column
     place = {s: i for i, s in enumerate(states)}
     edges = {(place[a], e): place[b] for (a, e), b in spec.edges.items()}
     ends = {place[s] for s in spec.terminals if s in place}
-    d = events.select(key.cast("string").alias("key"), event.cast("string").alias("event"), event_id.cast("string").alias("event_id"), block.cast("bigint").alias("block"), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("o")).where("key is not null")
-
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        at, n = list(range(len(states))), [0] * len(states)
-        for e in pdf.sort_values("r", kind="stable")["event"]:
+    d = events.select(key.cast("string").alias("key"), event.cast("string").alias("event"), event_id.cast("string").alias("event_id"), F.coalesce(block.cast("bigint"), F.lit(-(2**62))).alias("block"), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("o")).where("key is not null")
+
+    def runs(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        """The rows of a sorted partition, each with whether it begins a new (key, block)."""
+        last = None
+        for f in frames:
+            for row in f.itertuples(index=False):
+                yield (row.key, row.block) != last, row
+                last = (row.key, row.block)
+
+    def compose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        at, n = [], []
+        for new, row in runs(frames):
+            if new:
+                at, n = list(range(len(states))), [0] * len(states)
+                out.append((row.key, row.block, at, n))
+                if len(out) > _ROWS:  # all but the one that is being filled
+                    yield pd.DataFrame(out[:-1], columns=["key", "block", "to", "n"])
+                    out = out[-1:]
             for i, s in enumerate(at):
-                t = edges.get((s, e))
+                t = edges.get((s, row.event))
                 if t is not None:
                     at[i] = t
                     n[i] += 1
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "block": [pdf["block"].iloc[0]], "to": [at], "n": [n]})
+        yield pd.DataFrame(out, columns=["key", "block", "to", "n"])
 
-    ranked = d.withColumn("r", F.row_number().over(Window.partitionBy("key", "block").orderBy("o"))).drop("o")
-    maps = ranked.select("key", "block", "event", "r").groupBy("key", "block").applyInPandas(compose, "key string, block bigint, to array<int>, n array<bigint>")
+    ranked = d.repartition("key", "block").sortWithinPartitions("key", "block", "o").drop("o")
+    maps = ranked.select("key", "block", "event").mapInPandas(compose, "key string, block bigint, to array<int>, n array<bigint>")
     # A key's maps, one small row per block, run through once.
-    def starts(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        s, v, at = place[spec.initial], 0, []
-        for to, n in zip(pdf["to"], pdf["n"]):
-            at.append((s, v))
-            s, v = int(to[s]), v + int(n[s])
-        return pd.DataFrame({"key": pdf["key"], "block": pdf["block"], "s": [x for x, _ in at], "v": [x for _, x in at]})
-
-    start = maps.groupBy("key").applyInPandas(starts, "key string, block bigint, s int, v bigint")
-
-    def tell(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("r", kind="stable")
-        s, v = int(pdf["s"].iloc[0]), int(pdf["v"].iloc[0])
-        rows = []
-        for e, i in zip(pdf["event"], pdf["event_id"]):
-            t = edges.get((s, e))
+    def starts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, s, v = None, 0, 0
+        for f in frames:
+            at = []
+            for row in f.itertuples(index=False):
+                if row.key != key:
+                    key, s, v = row.key, place[spec.initial], 0
+                at.append((row.key, row.block, s, v))
+                s, v = int(row.to[s]), v + int(row.n[s])
+            yield pd.DataFrame(at, columns=["key", "block", "s", "v"])
+
+    start = maps.repartition("key").sortWithinPartitions("key", "block").mapInPandas(starts, "key string, block bigint, s int, v bigint")
+
+    def tell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["key", "event_id", "event", "from_state", "to_state", "outcome", "version"]
+        out: list[tuple] = []
+        s = v = 0
+        for new, row in runs(frames):
+            if new:
+                s, v = int(row.s), int(row.v)
+            t = edges.get((s, row.event))
             if t is None:
-                rows.append((i, e, states[s], states[s], "REJECTED", v))
+                out.append((row.key, row.event_id, row.event, states[s], states[s], "REJECTED", v))
             else:
                 v += 1
-                rows.append((i, e, states[s], states[t], "TERMINAL" if t in ends else "ACCEPTED", v))
+                out.append((row.key, row.event_id, row.event, states[s], states[t], "TERMINAL" if t in ends else "ACCEPTED", v))
                 s = t
-        out = pd.DataFrame(rows, columns=["event_id", "event", "from_state", "to_state", "outcome", "version"])
-        out.insert(0, "key", pdf["key"].iloc[0])
-        return out
+            if len(out) >= _ROWS:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        yield pd.DataFrame(out, columns=names)
 
-    told = ranked.join(start, ["key", "block"])
-    return told.groupBy("key", "block").applyInPandas(tell, "key string, event_id string, event string, from_state string, to_state string, outcome string, version bigint")
+    told = d.join(start, ["key", "block"]).repartition("key", "block").sortWithinPartitions("key", "block", "o").drop("o")
+    return told.mapInPandas(tell, "key string, event_id string, event string, from_state string, to_state string, outcome string, version bigint")
 
 
 def entities(told: DataFrame) -> DataFrame:
