@@ -129,6 +129,11 @@ UNION ALL
 SELECT 'processed_event', id, min(us) FROM p WHERE id <> '' GROUP BY id HAVING count(*) > 1
 """
 
+P4_DELIVERIES_SQL = f"""
+SELECT * EXCLUDE (rn, id) FROM (SELECT *, lower(trim(event_id, {_PAD})) AS id, count(*) OVER (PARTITION BY lower(trim(event_id, {_PAD}))) AS copies,
+  row_number() OVER (PARTITION BY lower(trim(event_id, {_PAD})) ORDER BY ingest_ts_millis = 0, ingest_ts_millis, delivery_id) AS rn FROM event_envelope) WHERE rn = 1
+"""
+
 P4_UNDISPATCHED_SQL = f"""
 WITH e AS (SELECT lower(trim(event_id, {_PAD})) AS event_id, sm_type, event_type, delivery_id,
   row_number() OVER (PARTITION BY lower(trim(event_id, {_PAD})) ORDER BY ingest_ts_millis = 0, ingest_ts_millis, delivery_id) AS rn FROM event_envelope)
@@ -148,4 +153,4 @@ P7_STATE_SQL = _P7 + "SELECT entity_id, coalesce(l.version, b.version) AS versio
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_SQL, "p4_undispatched": P4_UNDISPATCHED_SQL, "p7_found": P7_SQL, "p7_state": P7_STATE_SQL}
+    return {"p4_found": P4_SQL, "p4_deliveries": P4_DELIVERIES_SQL, "p4_undispatched": P4_UNDISPATCHED_SQL, "p7_found": P7_SQL, "p7_state": P7_STATE_SQL}
