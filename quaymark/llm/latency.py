@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaymark.functions.columns import micros
@@ -19,13 +19,19 @@ def latency_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(day, from_stage, to_stage, gap_ms): each event's stages in order of the first time they were reached; day is that of the earlier."""
-    t = table(spark, sf_dir, "event_trace").select("event_id", "stage", micros("ts").alias("us")).where("event_id is not null and stage is not null and us is not null")
-    first = t.groupBy("event_id", "stage").agg(F.min("us").alias("us"))
-    # One entry per stage: the list is bounded by the number of stages.
-    steps = first.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("us", "stage"))).alias("s")).where("size(s) > 1")
-    pair = F.transform(F.slice("s", F.lit(2), F.size("s") - 1), lambda x, i: F.struct(F.get("s", i)["stage"].alias("from_stage"), x["stage"].alias("to_stage"), F.get("s", i)["us"].alias("us"), ((x["us"] - F.get("s", i)["us"]) / 1000.0).alias("gap_ms")))
-    return steps.select(F.inline(pair)).select(F.to_date(F.timestamp_micros("us")).alias("day"), "from_stage", "to_stage", "gap_ms")
+    """(day, from_stage, to_stage, gap_ms) between neighbouring visits of an event, in order of time; day is that of the earlier.
+
+    A stage visited again counts again. Rows of an event that repeat a trace_id count once, at their
+    earliest time; without trace_id, those that repeat stage and time. Of visits at one time, the
+    stages' names decide. Rows without event, stage or time are no visits.
+    """
+    t = table(spark, sf_dir, "event_trace").select("event_id", "trace_id", "stage", micros("ts").alias("us")).where("event_id is not null and stage is not null and us is not null")
+    # Spread by event once, for the repeated rows and for the order; the window streams over its sorted rows.
+    t = t.repartition("event_id").withColumn("same", F.when(F.col("trace_id").isNull(), F.struct("us", "stage")))
+    visits = t.groupBy("event_id", "trace_id", "same").agg(F.min(F.struct("us", "stage")).alias("v")).select("event_id", "v.us", "v.stage")
+    w = Window.partitionBy("event_id").orderBy("us", "stage")
+    steps = visits.select("us", F.col("stage").alias("from_stage"), F.lead("stage").over(w).alias("to_stage"), F.lead("us").over(w).alias("then")).where("to_stage is not null")
+    return steps.select(F.to_date(F.timestamp_micros("us")).alias("day"), "from_stage", "to_stage", ((F.col("then") - F.col("us")) / 1000.0).alias("gap_ms"))
 
 
 def gap_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
