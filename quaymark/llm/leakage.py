@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaymark.llm.subtitles import Word, repaired, skeleton, spelled, spoken, symbol
+from quaymark.llm.subtitles import Word, folded, repaired, skeleton, spelled, spoken, symbol
 from quaymark.llm.wumanber import Patterns
 from quaymark.sources.tables import table
 
@@ -28,7 +28,7 @@ _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 def item_words(text: str | None) -> list[str]:
     out = []
     for raw in repaired(text or "").split():
-        w = _EDGE.sub("", raw.lower()).replace("'", "").replace("’", "")
+        w = _EDGE.sub("", folded(raw)).replace("'", "").replace("’", "")
         if w and any(c.isalnum() for c in w):
             out.append(w)
     return out

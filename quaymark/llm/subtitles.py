@@ -83,9 +83,17 @@ MISREAD = {"a": ("à",), "d": ("cl",), "e": ("c",), "h": ("li",), "i": ("1",), "
 _KEEP = re.compile(r"[^bgjkpqrstvxyzfmnw5]")
 
 
+def folded(word: str) -> str:
+    """A word without regard to case; the sharp s is ss, as capitals have it."""
+    return word.casefold()
+
+
 def skeleton(word: str) -> str:
-    """What no known damage changes in a lower-case word: its steady consonants, misread pairs taken together. May be empty."""
-    return _KEEP.sub("", word).replace("f", "t").replace("5", "s").replace("m", "rn").replace("w", "vv")
+    """What no known damage changes in a folded word: its steady consonants, misread pairs taken together. May be empty.
+
+    ss goes, since it can stand for a sharp s, which damage treats as it does any letter beyond ASCII.
+    """
+    return _KEEP.sub("", word.replace("5", "s").replace("ss", "")).replace("f", "t").replace("m", "rn").replace("w", "vv")
 
 
 def symbol(bones: str) -> int:
@@ -94,9 +102,13 @@ def symbol(bones: str) -> int:
 
 
 def spelled(word: str) -> str:
-    """A pattern of all that damage can make of a lower-case word."""
+    """A pattern of all that damage can make of a folded word."""
     parts = []
-    for ch in word:
+    for ch in re.findall("ss|.", word, re.S):
+        if ch == "ss":
+            one = "(?:" + "|".join(re.escape(w) for w in sorted({"s", LOST, *MISREAD["s"]})) + ")"
+            parts.append(rf"(?:{one}{one}|[^\x00-\x7f]{{1,4}})")
+            continue
         ways = {ch, LOST, *MISREAD.get(ch, ())}
         if not ch.isascii():
             base = unicodedata.normalize("NFD", ch)[0]
@@ -143,7 +155,7 @@ class _Words(dict):
         self.hints: dict[str, int] = {}
 
     def __missing__(self, raw: str) -> Word | None:
-        low = raw.lower()
+        low = folded(raw)
         bits = _IS_SITE if _SITE.search(low) else 0
         word = _EDGE.sub("", low).replace("'", "").replace("\u2019", "")
         if not bits and word:
@@ -193,7 +205,7 @@ def _same(a: list[Word], b: list[Word]) -> bool:
 def spoken(text: str | None) -> list[Word]:
     """The spoken words in order; empty for null, empty and wordless texts.
 
-    Words are in lower case, without punctuation around them and apostrophes; a token without
+    Words are folded (lower case, ss for the sharp s), without punctuation around them and apostrophes; a token without
     letter or digit is no word. A text without any cue time is taken as speech altogether.
     """
     if not text:

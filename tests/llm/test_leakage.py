@@ -118,3 +118,12 @@ def test_words_without_steady_consonants():
     assert known.search([spoken("i said he will do all he had to")]) == [(0, 1)]
     known = Items([(2, "la la la")])
     assert known.search([spoken("oh la la la oh"), spoken("oh la")]) == [(0, 2)]
+
+
+def test_sharp_s_in_capitals():
+    item = "der grundsatz der verhältnismäßigkeit verlangt daß jede straße außer der größten gemessen und geschlossen wird"
+    docs = [item, item.upper(), item.upper().replace("SS", "ẞ"), item.replace("ß", "ss"), item.replace("ß", "�"), item.replace("ß", "s5"), item.replace("ß", "ÃŸ"), item.replace("jede", "keine").upper()]
+    want = [(d, 1) for d in range(7)]
+    for text in (item, item.upper()):
+        assert Items([(1, text)]).search([spoken(d) for d in docs]) == want
+    assert skeleton("messstelle") == skeleton("me�stelle") == skeleton("meßstelle") and skeleton("mess") != skeleton("mes")
