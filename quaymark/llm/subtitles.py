@@ -133,12 +133,31 @@ _ADVERT_FORM = [(re.compile(_loose(w)), b) for w, b in _BIT.items()]
 # -- structure --
 
 _MARKUP = re.compile(r"<[^<>\n]{0,100}>|\{\\[^{}\n]{0,60}\}")
-_SOUND = re.compile(r"\[[^\[\]\x1e]{0,300}\]|\([^()\x1e]{0,300}\)|\*[^*\n\x1e]{1,120}\*|#[^#\n\x1e]{1,120}#|♪[^♪\x1e]*♪|[♪♫]|^[ \t]*(?:[-–—][ \t]*)?(?:[?�] [^\n\x1e]* [?�])[ \t]*$", re.M)
+_SOUND = re.compile(r"\[[^\[\]\x1e]{0,300}\]|\([^()\x1e]{0,300}\)|\*[^*\n\x1e]{1,120}\*|#[^#\n\x1e]{1,120}#|♪[^♪\x1e]*♪|[♪♫]")
+#: A line between two music signs that were lost; between question marks it can be French speech after a lost dash.
+_SUNG = re.compile(r"^[ \t]*([-–—]?)[ \t]*([?�]) [^\n\x1e]* \2[ \t]*$", re.M)
+_DASHED = re.compile(r"^[ \t]*\? ", re.M)
+_SPACED, _ASKED = re.compile(r"\w [!:;][ \t]*$", re.M), re.compile(r"\w \?[ \t]*$", re.M)
 _SPEAKER = re.compile(r"(?:^|(?<=[-–—>�] ))[ \t]*(?:[-–—>�]+[ \t]*)*([^\W_][\w.'’�-]*(?: [\w.'’�-]+){0,3}):(?=\s)", re.M)
 _EDGE = re.compile(r"^[^\w�]+|[^\w�]+$")
 _LETTER = re.compile(r"[^\W_]")
 
 
+def _unsung(text: str) -> str:
+    """Text without lines between two lost music signs.
+
+    In a file that opens other lines with `? ` alone, as a lost dash, and elsewhere has spaces
+    before its closing marks, as French has, a line from `? ` to ` ?` is a question and stays.
+    """
+    lines = [m for m in _SUNG.finditer(text) if m[2] == "?" and not m[1]]
+    asked = False
+    if lines:
+        cues = _SUNG.sub("", text).split("\x1e")
+        # A cue that opens with the sign and ends with it later can be a song over lines.
+        asked = any(map(_DASHED.search, cues)) and any(_SPACED.search(c) or (_ASKED.search(c) and not _DASHED.search(c)) for c in cues)
+    return _SUNG.sub(lambda m: m.group() if asked and m[2] == "?" and not m[1] else " ", text)
+
+
 def _label(m: re.Match) -> str:
     name = m.group(1)
     letters = [c for c in name if c.isalpha()]
@@ -218,7 +237,7 @@ def spoken(text: str | None) -> list[Word]:
     text = "\n\x1e\n".join(_cues(text))
     if "<" in text or "{" in text:
         text = _MARKUP.sub("", text)
-    text = _SOUND.sub(" ", text)
+    text = _unsung(_SOUND.sub(" ", text))
     if ":" in text:
         text = _SPEAKER.sub(_label, text)
     out: list[Word] = []

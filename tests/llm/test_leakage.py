@@ -127,3 +127,13 @@ def test_sharp_s_in_capitals():
     for text in (item, item.upper()):
         assert Items([(1, text)]).search([spoken(d) for d in docs]) == want
     assert skeleton("messstelle") == skeleton("me�stelle") == skeleton("meßstelle") and skeleton("mess") != skeleton("mes")
+
+
+def test_questions_after_a_lost_dash_stay():
+    cue = "\n\n1\n00:00:01,000 --> 00:00:02,000\n"
+    assert words(cue + "? Non, le nid !" + cue + "? Où est le sac ?\n? Voici le chien.") == "non le nid où est le sac voici le chien".split()
+    assert words(cue + "? Voici le chien." + cue + "Où est-il ?" + cue + "? Où est le sac ?") == "voici le chien où est-il où est le sac".split()
+    assert words(cue + "? We ran" + cue + "? la la, low tide ?" + cue + "Where is it?") == "we ran where is it".split()
+    assert words(cue + "Où est-il ?" + cue + "? la la ?" + cue + "- ? la la ?" + cue + "� la la �") == "où est-il".split()
+    assert words(cue + "? We ran\nhome ?" + cue + "? la la ?") == "we ran home".split()
+    assert words(cue + "? Non !" + cue + "- ? la la ?" + cue + "� la la �" + cue + "? Où ?") == "non où".split()
