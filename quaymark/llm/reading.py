@@ -1,12 +1,13 @@
 """Reading level of each document (problem 10).
 
-A Rasch model with steps (partial credit): each word has, for every step from a level to the
-next, a difficulty: the log-odds that an occurrence of it stands in text of the lower level. A
-passage's level follows from the difficulties of the words that occur in it, a word's
-difficulties from the levels of the passages it occurs in, and the two are estimated in turn,
-first from the labelled documents, then over the whole corpus. A word seen seldom leans on the
-difficulty of words of its length. The passage of a word is the words around it; a document has
-the level of most of its words.
+Semi-supervised naive Bayes over words, written with step difficulties: each word has, for
+every step from a level to the next, a difficulty: the log-odds that an occurrence of it stands
+in text of the lower level. A passage's level follows from the summed difficulties of the words
+that occur in it, a word's difficulties from the levels of the passages it occurs in, and the two
+are found in turn, first from the labelled documents, then over the whole corpus until the
+difficulties stop changing. Documents have no parameter of their own. A word seen seldom leans on
+the difficulty of words of its length. The passage of a word is the words around it; a document
+has the level of most of its words.
 
 Words are hashed into a fixed number of slots, so that the difficulties are a table of known
 size. Each pass over the corpus sums per task and slot before anything is shuffled.
@@ -14,6 +15,7 @@ size. Each pass over the corpus sums per task and slot before anything is shuffl
 
 from __future__ import annotations
 
+import logging
 import unicodedata
 from collections.abc import Iterator
 
@@ -36,10 +38,12 @@ LEVELS = 3
 AROUND = 6
 #: Weight of the prior by length, of the labelled documents against the corpus, and of a passage's evidence.
 PRIOR, ANCHOR, SHARPNESS = 1.0, 3.0, 0.7
-#: Passes over the corpus that estimate difficulties, after that over the labelled documents.
-PASSES = 1
+#: Passes over the corpus that estimate difficulties, after that over the labelled documents, end when a
+#: word's occurrences change level by less than SETTLED on average; PASSES is the most.
+PASSES, SETTLED = 30, 1e-3
 MIN_WORDS = 30
 _CHUNK = 2000
+_LOG = logging.getLogger(__name__)
 
 
 class _Codes(dict):
@@ -97,6 +101,13 @@ class Difficulties:
         return p / p.sum(0)
 
 
+def moved(before: Difficulties, after: Difficulties, words: np.ndarray) -> float:
+    """The share of word occurrences (LEVELS x SLOTS) that stand at another level after than before, 0 to 1."""
+    old, new = ((d.rate + 2 * PRIOR / LEVELS) / (d.rate.sum(0) + 2 * PRIOR) for d in (before, after))
+    n = words.sum(0)
+    return float((np.abs(new - old).sum(0) / 2 * n).sum() / max(n.sum(), 1e-9))
+
+
 def _chunks(b: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     for a in range(0, b.num_rows, _CHUNK):
         part = b.column(column).slice(a, _CHUNK)
@@ -156,9 +167,9 @@ def reading_levels(documents: DataFrame, labels: DataFrame, *, doc_id: Column, t
         yield _emit(words, lengths)
 
     seed = _summed(coded.join(lab, "doc_id").select("words", "l").mapInArrow(labelled, _COUNTS))
-    now = seed
+    now, change = Difficulties(*seed), 1.0
     for _ in range(passes):
-        sent = spark.sparkContext.broadcast(Difficulties(*now))
+        sent = spark.sparkContext.broadcast(now)
 
         def corpus(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             words, lengths = np.zeros((LEVELS, SLOTS)), np.zeros((LEVELS, LENGTHS))
@@ -169,8 +180,14 @@ def reading_levels(documents: DataFrame, labels: DataFrame, *, doc_id: Column, t
             yield _emit(words, lengths)
 
         got = _summed(coded.select("words").mapInArrow(corpus, _COUNTS))
-        now = tuple(g + ANCHOR * s for g, s in zip(got, seed))
-    final = spark.sparkContext.broadcast(Difficulties(*now))
+        before, now = now, Difficulties(*(g + ANCHOR * s for g, s in zip(got, seed)))
+        change = moved(before, now, got[0])
+        _LOG.info("difficulties: %.6f of the words changed level", change)
+        if change < SETTLED:
+            break
+    if passes and change >= SETTLED:
+        _LOG.warning("difficulties still change after %d passes: %.6f of the words changed level in the last", passes, change)
+    final = spark.sparkContext.broadcast(now)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -47,3 +47,28 @@ def test_edges(spark):
     assert not {900, 901, 902} & set(got) and got[903] == 3 and got[904] == 1
     assert set(levels(spark, docs, []).values()) <= {1, 2, 3}
     assert levels(spark, [], labels) == {}
+
+
+def test_levels_spread_over_linked_words(spark, caplog):
+    """Only words of the first group are labelled; each later group is linked to the one before."""
+    rng = random.Random(3)
+    group = lambda k, g: [f"w{k}{g}{i}xyz" for i in range(8)]
+    docs, truth = [], {}
+    for k in (1, 2, 3):
+        for g in range(5):
+            for _ in range(12):
+                words = [w for a, b in zip(rng.choices(group(k, g), k=40), rng.choices(group(k, g + 1), k=40)) for w in (a, b)]
+                truth[len(docs)] = (k, g)
+                docs.append((len(docs), " ".join(words), 0))
+        truth[len(docs)] = (k, 5)
+        docs.append((len(docs), " ".join(rng.choices(group(k, 5), k=80)), 0))
+    labels = [(i, k, "r") for i, (k, g) in truth.items() if g == 0]
+    with caplog.at_level("INFO", "quaymark.llm.reading"):
+        got = levels(spark, docs, labels)
+    assert {i: k for i, (k, g) in truth.items()} == got
+    seen = [r.args[0] for r in caplog.records if r.levelname == "INFO"]
+    assert len(seen) > 2 and seen[-1] < 1e-3 <= seen[-2]
+    assert not [r for r in caplog.records if r.levelname == "WARNING"]
+    with caplog.at_level("WARNING", "quaymark.llm.reading"):
+        assert levels(spark, docs, labels, passes=1) != got
+    assert [r for r in caplog.records if r.levelname == "WARNING"]
