@@ -153,7 +153,9 @@ def mix(docs: DataFrame, targets: DataFrame, *, levels: Sequence[str], doc_id: s
     top = levels[0]
     leaf_cols = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in levels]
     docs = docs.withColumn("__leaf", F.concat_ws("\x1f", *leaf_cols))
-    want = {r.source: r for r in targets.groupBy("source").agg(F.max_by(F.struct("target_share", "max_repeats"), F.struct("target_share", "max_repeats")).alias("s")).select("source", "s.*").where("source is not null and target_share > 0 and max_repeats > 0").limit(MAX_LEAVES).collect()}
+    want = {r.source: r for r in targets.groupBy("source").agg(F.max_by(F.struct("target_share", "max_repeats"), F.struct("target_share", "max_repeats")).alias("s")).select("source", "s.*").where("source is not null and target_share > 0 and max_repeats > 0").limit(MAX_LEAVES + 1).collect()}
+    if len(want) > MAX_LEAVES:
+        raise ValueError(f"more than {MAX_LEAVES} target sources")
     sizes = docs.join(F.broadcast(spark.createDataFrame([(k,) for k in want] or [("",)], "want string")), F.col(top) == F.col("want")).groupBy(top, "__leaf").agg(F.sum(tokens).alias("t")).limit(MAX_LEAVES + 1).collect()
     if len(sizes) > MAX_LEAVES:
         raise ValueError(f"more than {MAX_LEAVES} leaves")

@@ -65,3 +65,15 @@ def test_token_counts(spark):
     d = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (4, " " * 100_000), (5, "<|endoftext|>")], "doc_id bigint, text string")
     got = {r.doc_id: r.tokens for r in token_counts(d, [F.col("doc_id")], F.col("text")).collect()}
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] > 0 and got[5] > 1
+
+
+def test_too_many_targets_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr("quaymark.llm.mixing.MAX_LEAVES", 3)
+    d, _ = sources(spark, 30)
+    for n in (3, 4):
+        t = spark.createDataFrame([(f"s{i}", 1.0, 2) for i in range(n)], "source string, target_share double, max_repeats int")
+        if n > 3:
+            with pytest.raises(ValueError, match="target sources"):
+                mix(d, t, levels=["source"])
+        else:
+            assert mix(d, t, levels=["source"])[0].collect() == []
