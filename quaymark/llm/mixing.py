@@ -204,25 +204,25 @@ def language_key(c: Column) -> Column:
     return out
 
 
-def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _mixed(spark: SparkSession, sf_dir: str, full: bool = False) -> tuple[DataFrame, DataFrame]:
+    """full: spend as many tokens as the documents of the target sources have, instead of what keeps all shares."""
     docs = table(spark, sf_dir, "documents")
     counted = token_counts(docs, [F.col("doc_id"), source_key(F.col("source")).alias("source"), F.coalesce(language_key(F.col("lang")), F.lit("und")).alias("lang")], F.col("text"))
     targets = table(spark, sf_dir, "mix_target").select(source_key(F.col("source")).alias("source"), "target_share", "max_repeats")
-    return mix(materialize(counted, "tokens"), targets, levels=["source", "lang"])
+    counted = materialize(counted, "tokens")
+    usable = targets.where("target_share > 0 and max_repeats > 0")
+    total = (counted.join(F.broadcast(usable), "source", "left_semi").agg(F.sum("tokens")).first()[0] or 0) if full else None
+    return mix(counted, targets, levels=["source", "lang"], total=total)
 
 
-def p9_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, source, lang, tokens, uses, target_share, reached_share): the selection, with the shares of its sources."""
-    chosen, report = _mixed(spark, sf_dir)
+def _selection(chosen: DataFrame, report: DataFrame) -> DataFrame:
     spent = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("spent"))
     shares = spent.select("source", (F.col("spent") / F.sum("spent").over(Window.partitionBy(F.lit(1)))).alias("reached_share"))
     shares = shares.join(report.select("source", "target_share"), "source")
     return chosen.select("doc_id", "source", "lang", "tokens", "uses").join(F.broadcast(shares), "source").select("doc_id", "source", "lang", "tokens", "uses", "target_share", "reached_share")
 
 
-def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every target source: its share, what it has, what the mix takes, the share reached and the most often used document."""
-    chosen, report = _mixed(spark, sf_dir)
+def _shares(chosen: DataFrame, report: DataFrame) -> DataFrame:
     spent = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("spent"), F.count(F.lit(1)).alias("documents"), F.max("uses").alias("most_uses"))
     j = report.join(spent, "source", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
@@ -230,8 +230,28 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("source", "target_share", "max_repeats", "available", F.round("budget", 0).cast("bigint").alias("budget"), zero("spent"), zero("documents"), zero("most_uses"), F.round(F.coalesce("spent", F.lit(0)) / total, 6).alias("reached_share"))
 
 
+def p9_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, lang, tokens, uses, target_share, reached_share): the selection, with the shares of its sources."""
+    return _selection(*_mixed(spark, sf_dir))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every target source: its share, what it has, what the mix takes, the share reached and the most often used document."""
+    return _shares(*_mixed(spark, sf_dir))
+
+
+def p9_full_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p9_selection of as many tokens as the target sources have: sources that run short at their cap leave the rest to the others."""
+    return _selection(*_mixed(spark, sf_dir, full=True))
+
+
+def p9_full_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p9_shares of that selection."""
+    return _shares(*_mixed(spark, sf_dir, full=True))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p9_selection, p9_shares)}
+    return {f.__name__: f for f in (p9_selection, p9_shares, p9_full_selection, p9_full_shares)}
 
 
 def oracle_sql() -> dict[str, str]:

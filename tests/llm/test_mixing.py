@@ -77,3 +77,28 @@ def test_too_many_targets_are_an_error(spark, monkeypatch):
                 mix(d, t, levels=["source"])
         else:
             assert mix(d, t, levels=["source"])[0].collect() == []
+
+
+def test_full_total_against_water_level(spark, tiny):
+    """Every source takes level * share or its cap, where the level spends all tokens the sources have."""
+    from quaymark.llm.mixing import p9_full_selection, p9_full_shares, p9_shares
+
+    if not os.path.exists(os.path.join(TOKENIZERS, TOKENIZER)):
+        pytest.skip("no tokenizer files here")
+    got = p9_full_shares(spark, tiny).collect()
+    total = sum(r.available for r in got)
+    caps = {r.source: (r.available * r.max_repeats, r.target_share) for r in got}
+    assert sum(c for c, _ in caps.values()) >= total > sum(r.budget for r in p9_shares(spark, tiny).collect())
+    low, high = 0.0, total / min(w for _, w in caps.values())
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(c, mid * w) for c, w in caps.values()) < total else (low, mid)
+    for r in got:
+        cap, w = caps[r.source]
+        assert abs(r.budget - min(cap, low * w)) <= 1 and r.most_uses <= r.max_repeats
+        assert r.spent == cap if cap <= low * w else abs(r.spent - r.budget) < 20_000
+    assert any(0 < c < low * w for c, w in caps.values()) and any(c > low * w for c, w in caps.values())
+    spent = {}
+    for r in p9_full_selection(spark, tiny).collect():
+        spent[r.source] = spent.get(r.source, 0) + r.tokens * r.uses
+    assert spent == {r.source: r.spent for r in got if r.spent}
