@@ -288,6 +288,19 @@ def log_filter_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "event_trace").where(log_filter(F.col("detail"), 'e2eMs -"srcMs=1" ?e2eMs=3 ?done')).select("trace_id", "detail")
 
 
+@query("SELECT trace_id, event_id, stage, detail FROM event_trace WHERE detail LIKE 'handler_error%'")
+def errors_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`_` stands for any sign."""
+    return table(spark, sf_dir, "event_trace").where(F.col("detail").like("handler_error%")).select("trace_id", "event_id", "stage", "detail")
+
+
+@query("SELECT event_id, string_agg(k, ' | ' ORDER BY k) AS lock_keys FROM (SELECT event_id, unnest(lock_keys) AS k FROM event_envelope) WHERE k IS NOT NULL GROUP BY event_id")
+def lock_keys_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lock keys of all deliveries of an event as one text; events without keys don't come."""
+    keys = table(spark, sf_dir, "event_envelope").where("size(lock_keys) > 0").groupBy("event_id").agg(F.array_sort(F.array_compact(F.flatten(F.collect_list("lock_keys")))).alias("k"))
+    return keys.where("size(k) > 0").select("event_id", F.array_join("k", " | ").alias("lock_keys"))
+
+
 @query("SELECT vec_id, len(embedding) AS dim, round(list_sum(list_transform(embedding, lambda x: CAST(x AS double) * x)), 6) AS norm2, len(list_filter(embedding, lambda x: x > 0)) AS positive FROM embeddings")
 def array_map_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     sq = F.transform("embedding", lambda x: x.cast("double") * x)
