@@ -66,12 +66,12 @@ class SchemaSpec:
 
 
 def snake(name: str) -> str:
-    """shippingAddress: shipping_address; HTTPUrl: http_url."""
+    """A capital that begins a word gets an underscore before it: mooringLine gives mooring_line, VHFChannel vhf_channel."""
     return re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", name).lower()
 
 
 def event_type_name(name: str) -> str:
-    """The lifecycle type of an event class: OrderCreateEvent: evt_order_create_event; digits stand apart from the word after them."""
+    """The lifecycle type of an event class: evt_ and its name in snake case; digits stand apart from the word after them."""
     return "evt_" + re.sub(r"(?<=[a-z])(?=[A-Z])|(?<=[0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", name).lower()
 
 
