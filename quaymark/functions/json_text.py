@@ -56,7 +56,19 @@ def canonical_json(texts: pd.Series) -> pd.Series:
     return texts.map(canonical, na_action="ignore")
 
 
-def sketchy_json(c: Column | str) -> Column:
-    """A cheap spelling inside the JVM: equal texts differ rarely, different values always. For checksums, before `canonical_json`."""
+#: Signs whose value the JVM's variant may not hold exactly: numbers with an exponent or of 39 digits and more, halves of surrogate pairs.
+_INEXACT = r"[0-9][eE]|[0-9.]{39}|\\u[dD][89a-fA-F]"
+
+
+def same_json(c: Column | str) -> Column:
+    """A spelling inside the JVM under which different values always differ and equal ones mostly agree. For checksums, before `canonical_json`.
+
+    The text is read as the first of two elements of a list, the second being the text's own hash:
+    what follows a value that ended early would stand between them. Texts that aren't JSON by that
+    test, or hold what the variant can't keep exactly, stay as they are.
+    """
     c = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(F.to_json(F.try_parse_json(c)), c)
+    own = F.xxhash64(c)
+    v = F.try_parse_json(F.concat(F.lit("["), c, F.lit(","), own.cast("string"), F.lit("]")))
+    whole = (F.try_variant_get(v, "$[1]", "bigint") == own) & F.try_variant_get(v, "$[2]", "variant").isNull()
+    return F.when(~c.rlike(_INEXACT) & whole, F.to_json(F.try_variant_get(v, "$[0]", "variant"))).otherwise(c)
