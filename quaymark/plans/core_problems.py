@@ -120,6 +120,23 @@ def queries() -> dict:
 
 _PAD = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(160)"
 
+#: JSON as the sorted list of its values, each with its path: what two spellings of one value share.
+_TREE = "(SELECT list_sort(list(struct_pack(k := fullkey, t := CASE WHEN type IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'UHUGEINT', 'DOUBLE') THEN 'NUMBER' ELSE type END, x := CASE WHEN type IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'UHUGEINT', 'DOUBLE') THEN CAST(CAST(atom AS double) AS varchar) ELSE atom ->> '$' END))) FROM json_tree({}))"
+
+P1_SQL = f"""
+WITH a AS (SELECT *, trim(workflow_id, {_PAD}) AS id FROM sm_state QUALIFY row_number() OVER (PARTITION BY trim(workflow_id, {_PAD}) ORDER BY version DESC) = 1),
+b AS (SELECT *, trim(workflow_id, {_PAD}) AS id FROM sm_state_replica QUALIFY row_number() OVER (PARTITION BY trim(workflow_id, {_PAD}) ORDER BY version DESC) = 1),
+v AS (SELECT trim(entity_id, {_PAD}) AS id, max(coalesce(version, 0)) AS version FROM entity_snapshot WHERE entity_id IS NOT NULL AND (state IS NOT NULL OR model_json IS NOT NULL) GROUP BY 1),
+j AS (SELECT a.id, a.data AS u, b.data AS v FROM a JOIN b ON a.id = b.id WHERE a.data IS DISTINCT FROM b.data),
+d AS (SELECT id FROM j WHERE u IS NULL OR v IS NULL OR {_TREE.format("j.u")} IS DISTINCT FROM {_TREE.format("j.v")})
+SELECT id AS workflow_id, 'missing_in_replica' AS finding FROM a WHERE id NOT IN (SELECT id FROM b)
+UNION ALL SELECT id, 'missing_in_state' FROM b WHERE id NOT IN (SELECT id FROM a)
+UNION ALL SELECT a.id, unnest(list_filter([CASE WHEN a.sm_type IS DISTINCT FROM b.sm_type THEN 'sm_type' END, CASE WHEN a.state IS DISTINCT FROM b.state THEN 'state' END, CASE WHEN a.version IS DISTINCT FROM b.version THEN 'version' END,
+  CASE WHEN a.last_event_id IS DISTINCT FROM b.last_event_id THEN 'last_event_id' END, CASE WHEN epoch_us(a.updated_at) // 1000 IS DISTINCT FROM epoch_us(b.updated_at) // 1000 THEN 'updated_at' END], lambda x: x IS NOT NULL)) FROM a JOIN b ON a.id = b.id
+UNION ALL SELECT id, 'data' FROM d
+UNION ALL SELECT a.id, 'snapshot_version' FROM a JOIN v ON a.id = v.id WHERE a.version <> v.version
+"""
+
 P4_SQL = f"""
 WITH e AS (SELECT lower(trim(event_id, {_PAD})) AS id, delivery_id, ingest_ts_millis AS ms FROM event_envelope),
 p AS (SELECT lower(trim(event_id, {_PAD})) AS id, epoch_us(received_at) AS us FROM processed_event)
@@ -153,4 +170,4 @@ P7_STATE_SQL = _P7 + "SELECT entity_id, coalesce(l.version, b.version) AS versio
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_SQL, "p4_deliveries": P4_DELIVERIES_SQL, "p4_undispatched": P4_UNDISPATCHED_SQL, "p7_found": P7_SQL, "p7_state": P7_STATE_SQL}
+    return {"p1_found": P1_SQL, "p4_found": P4_SQL, "p4_deliveries": P4_DELIVERIES_SQL, "p4_undispatched": P4_UNDISPATCHED_SQL, "p7_found": P7_SQL, "p7_state": P7_STATE_SQL}
