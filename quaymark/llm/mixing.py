@@ -1,9 +1,11 @@
 """Sources mixed to target weights, in tokens (problem 9).
 
-The leaves (sources, below languages and domains, or whatever levels the tree has) get their
-budgets on the driver: weights run down the tree, a leaf takes at most its tokens times its cap
-of repeats, and what it can't take goes to its siblings first, then to the families above. Each
-leaf then spends its budget in epochs: whole passes over all its documents, then a prefix of
+The tree has domains, in these languages, in these sources (or whatever levels are asked for). A
+leaf weighs what its source's share of the target is worth in it: the share, times the part of
+the source's tokens that lie in the leaf; a family weighs what its leaves weigh together, so the
+sources hold their shares whatever the tree. Budgets run down the tree by weight, on the driver. A
+leaf takes at most its tokens times its source's cap of repeats, and what it can't take goes to
+its siblings first, then to the families above. Each leaf then spends its budget in epochs: whole passes over all its documents, then a prefix of
 tokens of one more pass in a seeded order. The prefix is found through sums over ranges of the
 seeded order, so that only the range in which the budget ends is looked at row by row.
 """
@@ -107,13 +109,6 @@ def allocate(node: Node, budget: float) -> float:
     return max(budget - node.budget, 0.0)
 
 
-def feasible(root: Node) -> float:
-    """The largest budget with which every child that has anything holds its share among those."""
-    have = [c for c in root.children if c.weight > 0 and c.capacity() > 0]
-    total = sum(c.weight for c in have)
-    return min((c.capacity() * total / c.weight for c in have), default=0.0)
-
-
 def leaf_selection(docs: DataFrame, leaf: str, doc_id: str, tokens: str, budgets: dict[str, tuple[float, int]], seed: int = SEED) -> DataFrame:
     """docs with `uses`: how often each document is taken so that its leaf spends its budget.
 
@@ -138,52 +133,67 @@ def leaf_selection(docs: DataFrame, leaf: str, doc_id: str, tokens: str, budgets
     return out.where("uses > 0").drop("__o", "__r", "__s", "__before", "__more", "passes", "rest")
 
 
-def mix(docs: DataFrame, targets: DataFrame, *, levels: Sequence[str], doc_id: str = "doc_id", tokens: str = "tokens", total: float | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def tree(sizes: Sequence[tuple[tuple[str, ...], str, int]], targets: dict[str, tuple[float, int]]) -> tuple[Node, dict[tuple[str, ...], Node]]:
+    """(root, leaves) from (path, source, tokens) per leaf and (share, cap of repeats) per source; families are in order of their names."""
+    of_source: dict[str, int] = {}
+    for _, source, tokens in sizes:
+        of_source[source] = of_source.get(source, 0) + tokens
+    root, leaves, nodes = Node("", 0.0), {}, {}
+    for path, source, tokens in sorted(sizes):
+        share, cap = targets[source]
+        weight = share * tokens / of_source[source] if of_source[source] else 0.0
+        at = root
+        at.weight += weight
+        for depth, name in enumerate(path, 1):
+            nxt = nodes.get(path[:depth])
+            if nxt is None:
+                nxt = nodes[path[:depth]] = Node(name, 0.0)
+                at.children.append(nxt)
+            nxt.weight += weight
+            at = nxt
+        at.tokens, at.repeats = tokens, cap
+        leaves[path] = at
+    return root, leaves
+
+
+def feasible(leaves: Sequence[Node]) -> float:
+    """The largest budget with which every leaf that has anything holds its weight among those."""
+    have = [c for c in leaves if c.weight > 0 and c.capacity() > 0]
+    total = sum(c.weight for c in have)
+    return min((c.capacity() * total / c.weight for c in have), default=0.0)
+
+
+def mix(docs: DataFrame, targets: DataFrame, *, levels: Sequence[str], source: str = "source", doc_id: str = "doc_id", tokens: str = "tokens", total: float | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """A selection whose sources hold their target shares, and a report of the shares.
 
-    docs: doc_id, tokens, the first level's column (which targets names: source, target_share,
-    max_repeats) and further levels' columns, below it in the tree, weighted by their tokens.
-    total: tokens to spend; by default the largest total with which every source that has documents
-    holds its share among those. Sources without documents, and what others can't take, leave their
-    share to the rest. Returns (selection: docs columns with uses; report: source, target_share,
-    max_repeats, available, budget). Targets that repeat a source count with the largest share;
-    null or non-positive shares and caps give nothing; equal documents are documents of their own.
+    docs: doc_id, tokens and the columns of the tree's levels, from the top; one of them is the
+    source, which targets names (source, target_share, max_repeats). total: tokens to spend; by
+    default the largest total with which every source that has documents holds its share among
+    those. Sources without documents, and what others can't take, leave their share to the rest:
+    to the sources of the same family first. Returns (selection: docs columns with uses; report:
+    source, target_share, max_repeats, available, budget). Targets that repeat a source count with
+    the largest share; null or non-positive shares and caps give nothing; equal documents are
+    documents of their own. More than MAX_LEAVES targets or leaves are an error.
     """
     spark = docs.sparkSession
-    top = levels[0]
-    leaf_cols = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in levels]
-    docs = docs.withColumn("__leaf", F.concat_ws("\x1f", *leaf_cols))
-    want = {r.source: r for r in targets.groupBy("source").agg(F.max_by(F.struct("target_share", "max_repeats"), F.struct("target_share", "max_repeats")).alias("s")).select("source", "s.*").where("source is not null and target_share > 0 and max_repeats > 0").limit(MAX_LEAVES + 1).collect()}
-    if len(want) > MAX_LEAVES:
+    if source not in levels:
+        raise ValueError(f"{source} is no level of the tree")
+    docs = docs.withColumn("__leaf", F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in levels]))
+    rows = targets.groupBy("source").agg(F.max_by(F.struct("target_share", "max_repeats"), F.struct("target_share", "max_repeats")).alias("s")).select("source", "s.*").where("source is not null and target_share > 0 and max_repeats > 0").limit(MAX_LEAVES + 1).collect()
+    if len(rows) > MAX_LEAVES:
         raise ValueError(f"more than {MAX_LEAVES} target sources")
-    sizes = docs.join(F.broadcast(spark.createDataFrame([(k,) for k in want] or [("",)], "want string")), F.col(top) == F.col("want")).groupBy(top, "__leaf").agg(F.sum(tokens).alias("t")).limit(MAX_LEAVES + 1).collect()
+    want = {r.source: (float(r.target_share), int(r.max_repeats)) for r in sorted(rows)}
+    sizes = docs.join(F.broadcast(spark.createDataFrame([(k,) for k in want] or [("",)], "want string")), F.col(source) == F.col("want")).groupBy(F.col(source).alias("source"), "__leaf").agg(F.sum(tokens).alias("t")).limit(MAX_LEAVES + 1).collect()
     if len(sizes) > MAX_LEAVES:
         raise ValueError(f"more than {MAX_LEAVES} leaves")
-    root = Node("", 1.0)
-    by_source: dict[str, Node] = {}
-    for k, r in sorted(want.items()):
-        by_source[k] = Node(k, float(r.target_share))
-        root.children.append(by_source[k])
-    leaves: dict[str, Node] = {}
-    for s in sorted(sizes, key=lambda s: s["__leaf"]):
-        at = by_source[s[top]]
-        parts = s["__leaf"].split("\x1f")
-        for depth in range(1, len(parts)):
-            nxt = next((c for c in at.children if c.name == parts[depth]), None)
-            if nxt is None:
-                nxt = Node(parts[depth], 0.0)
-                at.children.append(nxt)
-            nxt.weight += s.t
-            at = nxt
-        at.tokens, at.repeats = int(s.t), int(want[s[top]].max_repeats)
-        leaves[s["__leaf"]] = at
-    for n in by_source.values():
-        if not n.children:
-            n.repeats = int(want[n.name].max_repeats)
-    allocate(root, feasible(root) if total is None else float(total))
-    chosen = leaf_selection(docs, "__leaf", doc_id, tokens, {k: (n.budget, n.tokens) for k, n in leaves.items()}, seed).drop("__leaf")
-    have = {k: sum(s.t for s in sizes if s[top] == k) for k in want}
-    report = spark.createDataFrame([(k, float(r.target_share), int(r.max_repeats), int(have[k]), float(by_source[k].budget)) for k, r in sorted(want.items())], "source string, target_share double, max_repeats int, available bigint, budget double")
+    root, leaves = tree([(tuple(r["__leaf"].split("\x1f")), r.source, int(r.t or 0)) for r in sizes], want)
+    allocate(root, feasible(list(leaves.values())) if total is None else float(total))
+    chosen = leaf_selection(docs, "__leaf", doc_id, tokens, {"\x1f".join(k): (n.budget, n.tokens) for k, n in leaves.items()}, seed).drop("__leaf")
+    have, budget = dict.fromkeys(want, 0), dict.fromkeys(want, 0.0)
+    for r in sizes:
+        have[r.source] += int(r.t or 0)
+        budget[r.source] += leaves[tuple(r["__leaf"].split("\x1f"))].budget
+    report = spark.createDataFrame([(k, w, cap, have[k], budget[k]) for k, (w, cap) in want.items()], "source string, target_share double, max_repeats int, available bigint, budget double")
     return chosen, report
 
 
@@ -204,22 +214,27 @@ def language_key(c: Column) -> Column:
     return out
 
 
+def domain_key(season: Column, episode: Column) -> Column:
+    """series: part of one; single: a film or the like."""
+    return F.when(season.isNotNull() | episode.isNotNull(), F.lit("series")).otherwise(F.lit("single"))
+
+
 def _mixed(spark: SparkSession, sf_dir: str, full: bool = False) -> tuple[DataFrame, DataFrame]:
     """full: spend as many tokens as the documents of the target sources have, instead of what keeps all shares."""
     docs = table(spark, sf_dir, "documents")
-    counted = token_counts(docs, [F.col("doc_id"), source_key(F.col("source")).alias("source"), F.coalesce(language_key(F.col("lang")), F.lit("und")).alias("lang")], F.col("text"))
+    counted = token_counts(docs, [F.col("doc_id"), domain_key(F.col("season"), F.col("episode")).alias("domain"), source_key(F.col("source")).alias("source"), F.coalesce(language_key(F.col("lang")), F.lit("und")).alias("lang")], F.col("text"))
     targets = table(spark, sf_dir, "mix_target").select(source_key(F.col("source")).alias("source"), "target_share", "max_repeats")
     counted = materialize(counted, "tokens")
     usable = targets.where("target_share > 0 and max_repeats > 0")
     total = (counted.join(F.broadcast(usable), "source", "left_semi").agg(F.sum("tokens")).first()[0] or 0) if full else None
-    return mix(counted, targets, levels=["source", "lang"], total=total)
+    return mix(counted, targets, levels=["domain", "lang", "source"], total=total)
 
 
 def _selection(chosen: DataFrame, report: DataFrame) -> DataFrame:
     spent = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("spent"))
     shares = spent.select("source", (F.col("spent") / F.sum("spent").over(Window.partitionBy(F.lit(1)))).alias("reached_share"))
     shares = shares.join(report.select("source", "target_share"), "source")
-    return chosen.select("doc_id", "source", "lang", "tokens", "uses").join(F.broadcast(shares), "source").select("doc_id", "source", "lang", "tokens", "uses", "target_share", "reached_share")
+    return chosen.select("doc_id", "domain", "lang", "source", "tokens", "uses").join(F.broadcast(shares), "source").select("doc_id", "domain", "lang", "source", "tokens", "uses", "target_share", "reached_share")
 
 
 def _shares(chosen: DataFrame, report: DataFrame) -> DataFrame:
@@ -231,7 +246,7 @@ def _shares(chosen: DataFrame, report: DataFrame) -> DataFrame:
 
 
 def p9_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, source, lang, tokens, uses, target_share, reached_share): the selection, with the shares of its sources."""
+    """(doc_id, domain, lang, source, tokens, uses, target_share, reached_share): the selection, with the shares of its sources."""
     return _selection(*_mixed(spark, sf_dir))
 
 
@@ -250,9 +265,23 @@ def p9_full_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shares(*_mixed(spark, sf_dir, full=True))
 
 
+def p9_shares_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every target source with documents, whether p9_selection uses none of its documents too often and gives it its share, to the few documents in which its leaves' budgets end."""
+    chosen, report = _mixed(spark, sf_dir)
+    spent = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("spent"), F.max("uses").alias("most"), F.max("tokens").alias("longest"), F.count_distinct("domain", "lang").alias("leaves"))
+    one = Window.partitionBy(F.lit(1))  # a row per source
+    j = report.where("available > 0").join(spent, "source", "left").na.fill(0)
+    want = F.col("target_share") / F.sum("target_share").over(one) * F.sum("spent").over(one)
+    room = F.sum(F.col("longest") * F.col("leaves")).over(one)
+    return j.select("source", (F.col("most") <= F.col("max_repeats")).alias("within_cap"), (F.abs(F.col("spent") - want) <= room).alias("holds_share"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p9_selection, p9_shares, p9_full_selection, p9_full_shares)}
+    return {f.__name__: f for f in (p9_selection, p9_shares, p9_full_selection, p9_full_shares, p9_shares_hold)}
+
+
+P9_SHARES_HOLD_SQL = "SELECT DISTINCT lower(trim(source)) AS source, true AS within_cap, true AS holds_share FROM mix_target WHERE target_share > 0 AND max_repeats > 0 AND lower(trim(source)) IN (SELECT lower(trim(source)) FROM documents WHERE n_chars > 0)"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p9_shares_hold": P9_SHARES_HOLD_SQL}

@@ -1,16 +1,22 @@
 """Reading level of each document (problem 10).
 
-Semi-supervised naive Bayes over words, written with step difficulties: each word has, for
-every step from a level to the next, a difficulty: the log-odds that an occurrence of it stands
-in text of the lower level. A passage's level follows from the summed difficulties of the words
-that occur in it, a word's difficulties from the levels of the passages it occurs in, and the two
-are found in turn, first from the labelled documents, then over the whole corpus until the
-difficulties stop changing. Documents have no parameter of their own. A word seen seldom leans on
-the difficulty of words of its length. The passage of a word is the words around it; a document
-has the level of most of its words.
+A Rasch model of word occurrences with steps between levels (partial credit). Every passage has a
+latent level, every word a difficulty for each step from a level to the next: the log-odds, all
+else equal, that an occurrence of it stands in text of the lower level. How often a word occurs at
+all is conditioned away, as Rasch does with the raw score: what counts is at which levels it does.
+Given the difficulties, a passage's level has log-odds between neighbouring levels equal to minus
+the summed step difficulties of its words (times SHARPNESS, since passages overlap). Given the
+passages' levels, the difficulties are those of largest conditional likelihood under a normal
+prior around the difficulties of words of the same length, found by Newton's method.
+
+The two are found in turn: first from the labelled documents, whose passages are taken to have the
+label's level, then over the whole corpus, until the words' levels stop changing. Objective and
+change are logged after each pass. The passage of a word is the words around it; a document has
+the level at which most of its words' passages are.
 
 Words are hashed into a fixed number of slots, so that the difficulties are a table of known
-size. Each pass over the corpus sums per task and slot before anything is shuffled.
+size. Each pass over the corpus sums expected occurrences per task and slot before anything is
+shuffled; the Newton steps need only these sums.
 """
 
 from __future__ import annotations
@@ -36,8 +42,10 @@ LENGTHS = 16
 LEVELS = 3
 #: Words on either side that make up a word's passage.
 AROUND = 6
-#: Weight of the prior by length, of the labelled documents against the corpus, and of a passage's evidence.
-PRIOR, ANCHOR, SHARPNESS = 1.0, 3.0, 0.7
+#: Variance of the prior around a length's difficulties, weight of the labelled documents against the corpus, weight of a passage's evidence.
+VARIANCE, ANCHOR, SHARPNESS = 2.0, 3.0, 0.7
+#: Newton steps end when no difficulty moves by more than EXACT; NEWTON is the most.
+EXACT, NEWTON = 1e-6, 40
 #: Passes over the corpus that estimate difficulties, after that over the labelled documents, end when a
 #: word's occurrences change level by less than SETTLED on average; PASSES is the most.
 PASSES, SETTLED = 30, 1e-3
@@ -75,24 +83,66 @@ def coded_words(documents: DataFrame, doc_id: Column, text: Column) -> DataFrame
     return documents.select(doc_id.cast("bigint").alias("doc_id"), text.alias("text")).where("doc_id is not null").mapInArrow(run, "doc_id bigint, words array<int>")
 
 
-class Difficulties:
-    """Step difficulties from counts of word occurrences by level (LEVELS x SLOTS and LEVELS x LENGTHS)."""
+def _depths(steps: np.ndarray) -> np.ndarray:
+    """Minus the summed difficulties up to each level: steps (n, LEVELS - 1) to (n, LEVELS)."""
+    return -np.concatenate([np.zeros((len(steps), 1)), np.cumsum(steps, 1)], 1)
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
 
-    def __init__(self, words: np.ndarray, lengths: np.ndarray) -> None:
-        total = np.maximum(words.sum(1, keepdims=True), 1e-9)
-        self.rate = (words / total * total.mean()).astype(np.float32)
-        share = (lengths + 1.0) / (lengths + 1.0).sum(1, keepdims=True)
-        self.by_length = (share / share.sum(0)).astype(np.float32)
+def step_difficulties(counts: np.ndarray, exposure: np.ndarray, centre: np.ndarray, variance: float = VARIANCE) -> tuple[np.ndarray, float]:
+    """The step difficulties (n, LEVELS - 1) of largest conditional likelihood under the prior, and that objective.
+
+    counts (n, LEVELS): expected occurrences of each word at each level; exposure (LEVELS): those
+    of all words; centre (n, LEVELS - 1): the prior's means. The objective is concave, so Newton's
+    steps, no longer than 2 in any difficulty, end at its only maximum.
+    """
+    offset = np.log(np.maximum(exposure, 1e-9))
+    n = counts.sum(1)
+    above = counts[:, ::-1].cumsum(1)[:, ::-1][:, 1:]  # occurrences past each step
+    steps = centre.copy()
+    at = np.arange(counts.shape[1] - 1)
+    for _ in range(NEWTON):
+        past = _softmax(offset + _depths(steps))[:, ::-1].cumsum(1)[:, ::-1][:, 1:]
+        slope = n[:, None] * past - above - (steps - centre) / variance
+        both = past[:, np.maximum(at[:, None], at)]  # past the later of two steps is past both
+        curve = n[:, None, None] * (both - past[:, :, None] * past[:, None, :]) + np.eye(len(at)) / variance
+        move = np.clip(np.linalg.solve(curve, slope[:, :, None])[:, :, 0], -2, 2)
+        steps = steps + move
+        if not len(steps) or np.abs(move).max() < EXACT:
+            break
+    fit = (counts * np.log(np.maximum(_softmax(offset + _depths(steps)), 1e-300))).sum()
+    return steps, float(fit - ((steps - centre) ** 2).sum() / (2 * variance))
 
-    def levels_of(self, codes: np.ndarray) -> np.ndarray:
-        """log P(level | word): the running sums of minus the step difficulties, normalised."""
-        r = self.rate[:, codes & (SLOTS - 1)]
-        return np.log((r + 2 * PRIOR * self.by_length[:, codes >> SLOT_BITS]) / (r.sum(0) + 2 * PRIOR) + 1e-4)
+
+class Difficulties:
+    """Step difficulties of words and of lengths, from expected occurrences by level (LEVELS x SLOTS and LEVELS x LENGTHS) and the letters of each slot's occurrences (SLOTS)."""
+
+    def __init__(self, words: np.ndarray, lengths: np.ndarray, letters: np.ndarray) -> None:
+        exposure = words.sum(1)
+        none = np.zeros((LENGTHS, LEVELS - 1))
+        of_length, _ = step_difficulties(lengths.T, exposure, none, variance=100.0)
+        seen = np.flatnonzero(words.any(0))
+        counts = words[:, seen].T
+        size = np.rint(letters[seen] / np.maximum(counts.sum(1), 1e-9)).astype(int)
+        steps, objective = step_difficulties(counts, exposure, of_length[np.clip(size, 1, LENGTHS) - 1])
+        self.objective = objective / max(exposure.sum(), 1e-9)
+        self.by_length = _depths(of_length).T.astype(np.float32)
+        self.by_word = np.full((LEVELS, SLOTS), np.nan, np.float32)
+        self.by_word[:, seen] = _depths(steps).T
+
+    def evidence(self, codes: np.ndarray) -> np.ndarray:
+        """Minus the summed step difficulties of each word up to each level (LEVELS x words); words never counted have those of their length."""
+        mine = self.by_word[:, codes & (SLOTS - 1)]
+        return np.where(np.isnan(mine), self.by_length[:, codes >> SLOT_BITS], mine)
 
     def passages(self, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """P(level) of the passage of each word; documents end at `ends`."""
         n = len(codes)
-        run = np.concatenate([np.zeros((LEVELS, 1)), np.cumsum(self.levels_of(codes), 1, dtype=np.float64)], 1)
+        run = np.concatenate([np.zeros((LEVELS, 1)), np.cumsum(self.evidence(codes), 1, dtype=np.float64)], 1)
         sizes = np.diff(np.concatenate([[0], ends]))
         first, last = np.repeat(ends - sizes, sizes), np.repeat(ends, sizes)
         at = np.arange(n)
@@ -103,9 +153,9 @@ class Difficulties:
 
 def moved(before: Difficulties, after: Difficulties, words: np.ndarray) -> float:
     """The share of word occurrences (LEVELS x SLOTS) that stand at another level after than before, 0 to 1."""
-    old, new = ((d.rate + 2 * PRIOR / LEVELS) / (d.rate.sum(0) + 2 * PRIOR) for d in (before, after))
+    old, new = (_softmax(np.nan_to_num(d.by_word).T) for d in (before, after))
     n = words.sum(0)
-    return float((np.abs(new - old).sum(0) / 2 * n).sum() / max(n.sum(), 1e-9))
+    return float((np.abs(new - old).sum(1) / 2 * n).sum() / max(n.sum(), 1e-9))
 
 
 def _chunks(b: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -115,31 +165,43 @@ def _chunks(b: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray, n
         yield a, codes, np.cumsum(part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
 
 
-def _summed(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts per slot from all tasks; at most SLOTS + LENGTHS rows come to the driver."""
-    words, lengths = np.zeros((LEVELS, SLOTS)), np.zeros((LEVELS, LENGTHS))
-    got = rows.groupBy("slot").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(LEVELS)]).toArrow()
+_Sums = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _zeros() -> _Sums:
+    return np.zeros((LEVELS, SLOTS)), np.zeros((LEVELS, LENGTHS)), np.zeros(SLOTS)
+
+
+def _summed(rows: DataFrame) -> _Sums:
+    """Sums of all tasks per slot; at most SLOTS + LENGTHS rows come to the driver."""
+    words, lengths, letters = _zeros()
+    names = [c for c in _COLUMNS if c != "slot"]
+    got = rows.groupBy("slot").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
     slot = got.column("slot").to_numpy()
-    n = np.stack([got.column(f"n{k}").to_numpy() for k in range(LEVELS)]) if len(slot) else np.zeros((LEVELS, 0))
+    n = np.stack([got.column(c).to_numpy() for c in names]) if len(slot) else np.zeros((LEVELS + 1, 0))
     w = slot < SLOTS
-    words[:, slot[w]] = n[:, w]
-    lengths[:, slot[~w] - SLOTS] = n[:, ~w]
-    return words, lengths
+    words[:, slot[w]], letters[slot[w]] = n[:LEVELS, w], n[LEVELS, w]
+    lengths[:, slot[~w] - SLOTS] = n[:LEVELS, ~w]
+    return words, lengths, letters
 
 
-_COUNTS = "slot int, " + ", ".join(f"n{k} double" for k in range(LEVELS))
+_COLUMNS = ["slot", *(f"n{k}" for k in range(LEVELS)), "letters"]
+_COUNTS = ", ".join(f"{c} {'int' if c == 'slot' else 'double'}" for c in _COLUMNS)
 
 
-def _emit(words: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
-    both = np.concatenate([words, lengths], 1)
+def _emit(words: np.ndarray, lengths: np.ndarray, letters: np.ndarray) -> pa.RecordBatch:
+    both = np.concatenate([np.concatenate([words, lengths], 1), np.concatenate([letters, np.zeros(LENGTHS)])[None]])
     hit = np.flatnonzero(both.any(0))
-    return pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32))] + [pa.array(both[k, hit]) for k in range(LEVELS)], ["slot"] + [f"n{k}" for k in range(LEVELS)])
+    return pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32))] + [pa.array(row[hit]) for row in both], _COLUMNS)
 
 
-def _tally(words: np.ndarray, lengths: np.ndarray, codes: np.ndarray, p: np.ndarray) -> None:
+def _tally(sums: _Sums, codes: np.ndarray, p: np.ndarray) -> None:
+    words, lengths, letters = sums
+    slot, size = codes & (SLOTS - 1), codes >> SLOT_BITS
     for k in range(LEVELS):
-        words[k] += np.bincount(codes & (SLOTS - 1), p[k], SLOTS)
-        lengths[k] += np.bincount(codes >> SLOT_BITS, p[k], LENGTHS)
+        words[k] += np.bincount(slot, p[k], SLOTS)
+        lengths[k] += np.bincount(size, p[k], LENGTHS)
+    letters += np.bincount(slot, (size + 1.0) * p.sum(0), SLOTS)
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame, *, doc_id: Column, text: Column, label_id: Column, level: Column, passes: int = PASSES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -156,15 +218,15 @@ def reading_levels(documents: DataFrame, labels: DataFrame, *, doc_id: Column, t
     lab = labels.select(label_id.cast("bigint").alias("doc_id"), level.cast("double").alias("l")).where(f"l between 1 and {LEVELS}").groupBy("doc_id").agg(F.avg("l").alias("l"))
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, lengths = np.zeros((LEVELS, SLOTS)), np.zeros((LEVELS, LENGTHS))
+        sums = _zeros()
         for b in batches:
             if not b.num_rows:
                 continue
             l = b.column(1).to_numpy(zero_copy_only=False)
             for a, codes, ends in _chunks(b, 0):
                 each = np.repeat(l[a : a + _CHUNK], np.diff(np.concatenate([[0], ends])))
-                _tally(words, lengths, codes, np.stack([np.maximum(0.0, 1 - np.abs(each - (k + 1))) for k in range(LEVELS)]))
-        yield _emit(words, lengths)
+                _tally(sums, codes, np.stack([np.maximum(0.0, 1 - np.abs(each - (k + 1))) for k in range(LEVELS)]))
+        yield _emit(*sums)
 
     seed = _summed(coded.join(lab, "doc_id").select("words", "l").mapInArrow(labelled, _COUNTS))
     now, change = Difficulties(*seed), 1.0
@@ -172,17 +234,17 @@ def reading_levels(documents: DataFrame, labels: DataFrame, *, doc_id: Column, t
         sent = spark.sparkContext.broadcast(now)
 
         def corpus(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            words, lengths = np.zeros((LEVELS, SLOTS)), np.zeros((LEVELS, LENGTHS))
+            sums = _zeros()
             for b in batches:
                 if b.num_rows:
                     for _, codes, ends in _chunks(b, 0):
-                        _tally(words, lengths, codes, sent.value.passages(codes, ends))
-            yield _emit(words, lengths)
+                        _tally(sums, codes, sent.value.passages(codes, ends))
+            yield _emit(*sums)
 
         got = _summed(coded.select("words").mapInArrow(corpus, _COUNTS))
         before, now = now, Difficulties(*(g + ANCHOR * s for g, s in zip(got, seed)))
         change = moved(before, now, got[0])
-        _LOG.info("difficulties: %.6f of the words changed level", change)
+        _LOG.info("difficulties: %.6f of the words changed level, objective %.6f a word", change, now.objective)
         if change < SETTLED:
             break
     if passes and change >= SETTLED:

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quaymark.llm.mixing import TOKENIZER, TOKENIZERS, Node, allocate, feasible, mix, token_counts
+from quaymark.llm.mixing import TOKENIZER, TOKENIZERS, Node, allocate, feasible, mix, token_counts, tree
 
 
 def test_shortage_stays_among_siblings():
@@ -15,7 +15,24 @@ def test_shortage_stays_among_siblings():
     tight = Node("", 1, [Node("family", 0.5, [Node("a", 1, tokens=30)]), Node("other", 0.5, tokens=1000)])
     assert allocate(tight, 200) == 0 and tight.children[1].budget == 170
     assert allocate(tight, 5000) == pytest.approx(3970)
-    assert feasible(tight) == 60 and feasible(Node("", 1)) == 0
+    assert feasible(tight.children[0].children + [tight.children[1]]) == 45 and feasible([]) == 0
+
+
+def test_weights_run_through_domains_languages_sources():
+    """A source short in one language leaves that to the language's other sources, then to the domain's other languages."""
+    sizes = [(("film", "en", "a"), "a", 100), (("film", "en", "b"), "b", 300), (("film", "de", "b"), "b", 100), (("series", "en", "b"), "b", 600)]
+    root, leaves = tree(sizes, {"a": (0.5, 1), "b": (0.5, 1)})
+    film, series = root.children
+    assert [(film.weight, series.weight), (leaves["film", "en", "a"].weight, leaves["film", "de", "b"].weight)] == [pytest.approx((0.7, 0.3)), pytest.approx((0.5, 0.05))]
+    assert feasible(list(leaves.values())) == pytest.approx(200)
+    assert allocate(root, 600) == 0
+    got = {k: n.budget for k, n in leaves.items()}
+    # film takes 420: German 30; English 390, of which a takes all it has and b the rest.
+    assert got == {("film", "en", "a"): pytest.approx(100), ("film", "en", "b"): pytest.approx(290), ("film", "de", "b"): pytest.approx(30), ("series", "en", "b"): pytest.approx(180)}
+    assert allocate(root, 800) == 0
+    got = {k: n.budget for k, n in leaves.items()}
+    # film can take 500 of its 560, and 60 more go to series.
+    assert got == {("film", "en", "a"): 100, ("film", "en", "b"): 300, ("film", "de", "b"): 100, ("series", "en", "b"): pytest.approx(300)}
 
 
 def sources(spark, n=3000):
@@ -79,26 +96,46 @@ def test_too_many_targets_are_an_error(spark, monkeypatch):
             assert mix(d, t, levels=["source"])[0].collect() == []
 
 
-def test_full_total_against_water_level(spark, tiny):
-    """Every source takes level * share or its cap, where the level spends all tokens the sources have."""
+def filled(members, budget):
+    """Water level: each member (weight, room) takes level * weight or its room, where the level spends the budget."""
+    low, high = 0.0, budget / min([w for w, r in members if w > 0 and r > 0], default=1.0)
+    for _ in range(300):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(r, mid * w) for w, r in members) < budget else (low, mid)
+    return [min(r, high * w) for w, r in members]
+
+
+def test_full_total_against_water_levels(spark, tiny):
+    """The budgets of a stated total, worked out level by level from the selection's own documents."""
     from quaymark.llm.mixing import p9_full_selection, p9_full_shares, p9_shares
 
     if not os.path.exists(os.path.join(TOKENIZERS, TOKENIZER)):
         pytest.skip("no tokenizer files here")
-    got = p9_full_shares(spark, tiny).collect()
-    total = sum(r.available for r in got)
-    caps = {r.source: (r.available * r.max_repeats, r.target_share) for r in got}
-    assert sum(c for c, _ in caps.values()) >= total > sum(r.budget for r in p9_shares(spark, tiny).collect())
-    low, high = 0.0, total / min(w for _, w in caps.values())
-    for _ in range(200):
-        mid = (low + high) / 2
-        low, high = (mid, high) if sum(min(c, mid * w) for c, w in caps.values()) < total else (low, mid)
-    for r in got:
-        cap, w = caps[r.source]
-        assert abs(r.budget - min(cap, low * w)) <= 1 and r.most_uses <= r.max_repeats
-        assert r.spent == cap if cap <= low * w else abs(r.spent - r.budget) < 20_000
-    assert any(0 < c < low * w for c, w in caps.values()) and any(c > low * w for c, w in caps.values())
+    got = {r.source: r for r in p9_full_shares(spark, tiny).collect()}
+    total = sum(r.available for r in got.values())
+    assert total > sum(r.budget for r in p9_shares(spark, tiny).collect())
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").selectExpr("doc_id", "if(season is null and episode is null, 'single', 'series') as domain", "lang", "lower(trim(source)) as source", "text")
+    from quaymark.llm.mixing import language_key
+
+    counted = token_counts(docs, [F.col("domain"), F.coalesce(language_key(F.col("lang")), F.lit("und")).alias("lang"), F.col("source")], F.col("text"))
+    leaves = {(r.domain, r.lang, r.source): r.t for r in counted.where(F.col("source").isin(list(got))).groupBy("domain", "lang", "source").agg(F.sum("tokens").alias("t")).collect()}
+    weight = {k: got[k[2]].target_share * t / got[k[2]].available for k, t in leaves.items()}
+    room = {k: t * got[k[2]].max_repeats for k, t in leaves.items()}
+
+    def spread(keys, budget, depth):
+        if depth == 3:
+            return {keys[0]: budget}
+        names = sorted({k[depth] for k in keys})
+        parts = [[k for k in keys if k[depth] == n] for n in names]
+        return {k: b for p, x in zip(parts, filled([(sum(weight[k] for k in p), sum(room[k] for k in p)) for p in parts], budget)) for k, b in spread(p, x, depth + 1).items()}
+
+    want = {}
+    for k, b in spread(list(leaves), float(total), 0).items():
+        want[k[2]] = want.get(k[2], 0) + b
+    for s, b in want.items():
+        assert abs(got[s].budget - b) <= 1 and got[s].most_uses <= got[s].max_repeats and abs(got[s].spent - b) < 20_000
+    assert any(r.spent and r.spent == r.available * r.max_repeats for r in got.values())
     spent = {}
     for r in p9_full_selection(spark, tiny).collect():
         spent[r.source] = spent.get(r.source, 0) + r.tokens * r.uses
-    assert spent == {r.source: r.spent for r in got if r.spent}
+    assert spent == {s: r.spent for s, r in got.items() if r.spent}

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from quaymark.llm.reading import reading_levels
+from quaymark.llm.reading import VARIANCE, reading_levels, step_difficulties
 
 EASY = "the sun is in a big red box and we sat by it".split()
 MIDDLE = "although nobody remembered yesterday another stranger carried lanterns through villages before dinner".split()
@@ -72,3 +72,24 @@ def test_levels_spread_over_linked_words(spark, caplog):
     with caplog.at_level("WARNING", "quaymark.llm.reading"):
         assert levels(spark, docs, labels, passes=1) != got
     assert [r for r in caplog.records if r.levelname == "WARNING"]
+
+
+def test_newton_ends_at_the_maximum():
+    rng = np.random.default_rng(4)
+    counts = rng.gamma(0.5, 20, (200, 3)) * (rng.random((200, 3)) < 0.7)
+    exposure, centre = np.array([5000.0, 9000.0, 300.0]), rng.normal(size=(200, 2))
+    steps, best = step_difficulties(counts, exposure, centre)
+
+    def objective(s):
+        depth = np.concatenate([np.zeros((200, 1)), -s.cumsum(1)], 1) + np.log(exposure)
+        return (counts * (depth - np.log(np.exp(depth).sum(1, keepdims=True)))).sum() - ((s - centre) ** 2).sum() / (2 * VARIANCE)
+
+    assert abs(objective(steps) - best) < 1e-6
+    for i in rng.integers(0, 200, 20):
+        for j in (0, 1):
+            for by in (-1e-2, 1e-2):
+                other = steps.copy()
+                other[i, j] += by
+                assert objective(other) < best
+    unseen, _ = step_difficulties(np.zeros((2, 3)), exposure, centre[:2])
+    assert np.allclose(unseen, centre[:2])
