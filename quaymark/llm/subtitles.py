@@ -12,10 +12,8 @@ import re
 import unicodedata
 from html import unescape
 
-import xxhash
-
-#: A spoken word: as it stands, its skeleton, the skeleton's symbol.
-Word = tuple[str, str, int]
+#: A spoken word: as it stands, its skeleton, and what of that goes on in a stream of words.
+Word = tuple[str, str, str]
 
 #: Lone or wrapped signs a lost character leaves.
 LOST = "�"
@@ -96,9 +94,9 @@ def skeleton(word: str) -> str:
     return _KEEP.sub("", word.replace("5", "s").replace("ss", "")).replace("f", "t").replace("m", "rn").replace("w", "vv")
 
 
-def symbol(bones: str) -> int:
-    """A skeleton as a number above zero."""
-    return xxhash.xxh3_64_intdigest(bones) | 1
+def piece(bones: str) -> str:
+    """What of a skeleton stays the same when a word falls apart in two or runs into the next: all but s, whose pairs depend on the word's ends. May be empty."""
+    return bones.replace("s", "")
 
 
 def spelled(word: str) -> str:
@@ -132,8 +130,8 @@ _ADVERT_FORM = [(re.compile(_loose(w)), b) for w, b in _BIT.items()]
 
 # -- structure --
 
-_MARKUP = re.compile(r"<[^<>\n]{0,100}>|\{\\[^{}\n]{0,60}\}")
-_SOUND = re.compile(r"\[[^\[\]\x1e]{0,300}\]|\([^()\x1e]{0,300}\)|\*[^*\n\x1e]{1,120}\*|#[^#\n\x1e]{1,120}#|♪[^♪\x1e]*♪|[♪♫]")
+_MARKUP = re.compile(r"<[^<>\n]*>|\{\\[^{}\n]*\}")
+_SOUND = re.compile(r"\[[^\[\]\x1e]*\]|\([^()\x1e]*\)|\*[^*\n\x1e]+\*|#[^#\n\x1e]+#|♪[^♪\x1e]*♪|[♪♫]")
 #: A line between two music signs that were lost; between question marks it can be French speech after a lost dash.
 _SUNG = re.compile(r"^[ \t]*([-–—]?)[ \t]*([?�]) [^\n\x1e]* \2[ \t]*$", re.M)
 _DASHED = re.compile(r"^[ \t]*\? ", re.M)
@@ -165,7 +163,7 @@ def _label(m: re.Match) -> str:
 
 
 class _Words(dict):
-    """Of each token as it stands in a line: (word, skeleton, symbol of the skeleton, 0 if empty), or None where it is no word. Tokens that adverts may hold go to `hints` with their bits."""
+    """Of each token as it stands in a line: (word, skeleton, its piece), or None where it is no word. Tokens that adverts may hold go to `hints` with their bits."""
 
     LIMIT = 400_000
 
@@ -187,7 +185,7 @@ class _Words(dict):
         if bits:
             self.hints[raw] = bits
         bones = skeleton(word)
-        got = self[raw] = (word, bones, symbol(bones) if bones else 0) if _LETTER.search(word) else None
+        got = self[raw] = (word, bones, piece(bones)) if _LETTER.search(word) else None
         return got
 
 

@@ -1,11 +1,10 @@
 import random
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from quaymark.llm.leakage import Items, leaks
 from quaymark.llm.subtitles import MISREAD, repaired, skeleton, spoken
-from quaymark.llm.wumanber import Patterns
+from quaymark.llm.wumanber import Patterns, _words, padded
 
 
 def words(text):
@@ -47,15 +46,23 @@ def test_skeletons_survive_damage():
 
 def test_search_finds_what_a_naive_one_does():
     rng = random.Random(4)
-    for m in (1, 2, 3, 7):
-        pats = [np.asarray([rng.randint(1, 4) for _ in range(rng.randint(m, m + 5))], np.uint64) for _ in range(25)]
-        docs = [[rng.randint(1, 4) for _ in range(rng.randint(0, 80))] for _ in range(30)]
-        flat = np.asarray([x for d in docs for x in d], np.uint64)
-        bounds = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
-        start, k = Patterns(pats).find(flat, bounds)
-        got = sorted(zip(start.tolist(), k.tolist()))
-        want = sorted((int(bounds[i]) + s, j) for i, d in enumerate(docs) for j, p in enumerate(pats) for s in range(len(d) - len(p) + 1) if d[s : s + len(p)] == p.tolist())
-        assert got == want
+    text = lambda n: bytes(rng.choice(b"abcd") for _ in range(n))
+    for m in (1, 2, 3, 7, 20):
+        for size in (0, 5, 100, 3000):
+            pats = [text(rng.randint(m, m + 5)) for _ in range(25)]
+            data = b"\0".join([text(rng.randint(0, size)) for _ in range(8)] + rng.choices(pats, k=3))
+            start, k = Patterns(pats).find(padded(data))
+            want = sorted((s, j) for j, p in enumerate(pats) for s in range(len(data) - len(p) + 1) if data.startswith(p, s))
+            assert list(zip(start.tolist(), k.tolist())) == want
+
+
+def test_search_skips():
+    rng = random.Random(5)
+    text = lambda n: bytes(rng.choice(b"bgjkpqrtvxyzn") for _ in range(n))
+    known = Patterns([text(60) for _ in range(300)])
+    data = padded(text(200_000))
+    _, looked = known.ends(_words(data), 200_000)
+    assert looked < 200_000 / 10
 
 
 VOCAB = "lantern mountain opened market soldier yellow bridge table promise paper factory village dinner question cellar island harbour window stranger garden".split()
@@ -95,8 +102,8 @@ def test_leaks_against_brute_force(spark):
 
     dd = spark.createDataFrame([(d, cued(w), 1) for d, w in docs] + [(500, None, 1), (501, "", 1)], "doc_id bigint, text string, item_id int")
     ii = spark.createDataFrame([(i, "  ".join(w) + ".", 1) for i, w in items] + [(900, None, 1), (901, " - ", 1)], "item_id bigint, text string, doc_id int")
-    for block in (40, 10**6):
-        got = {(r.doc_id, r.item_id) for r in leaks(dd, ii, doc_id=F.col("doc_id"), text=F.col("text"), item_id=F.col("item_id"), item_text=F.col("text"), block_words=block).collect()}
+    for block, side in ((40, 2), (60, 100), (10**6, 1)):
+        got = {(r.doc_id, r.item_id) for r in leaks(dd, ii, doc_id=F.col("doc_id"), text=F.col("text"), item_id=F.col("item_id"), item_text=F.col("text"), block_words=block, side_by_side=side).collect()}
         assert got == brute(docs, items)
     none = dd.limit(0)
     assert leaks(none, ii, doc_id=F.col("doc_id"), text=F.col("text"), item_id=F.col("item_id"), item_text=F.col("text")).count() == 0
@@ -137,3 +144,24 @@ def test_questions_after_a_lost_dash_stay():
     assert words(cue + "Où est-il ?" + cue + "? la la ?" + cue + "- ? la la ?" + cue + "� la la �") == "où est-il".split()
     assert words(cue + "? We ran\nhome ?" + cue + "? la la ?") == "we ran home".split()
     assert words(cue + "? Non !" + cue + "- ? la la ?" + cue + "� la la �" + cue + "? Où ?") == "non où".split()
+
+
+def test_words_split_and_joined():
+    item = "because the lantern of the village had opened another question about yellow mountains we remember"
+    want = item.split()
+    rng = random.Random(6)
+    for _ in range(40):
+        w = list(want)
+        i = rng.choice([x for x in range(len(w)) if len(w[x]) > 3])
+        cut = rng.randint(1, len(w[i]) - 1)
+        split = w[:i] + [w[i][:cut], w[i][cut:]] + w[i + 1 :]
+        j = rng.randrange(len(w) - 1)
+        joined = w[:j] + [w[j] + w[j + 1]] + w[j + 2 :]
+        for text in (split, joined):
+            assert Items([(3, item)]).search([spoken("so he said " + " ".join(text) + " and left")]) == [(0, 3)], text
+    assert Items([(3, item)]).search([spoken("so " + " ".join(want[:6] + ["window"] + want[8:]))]) == []
+
+
+def test_long_markup_and_sounds_go():
+    long = "w " * 400
+    assert words(f"00:00:01,000 --> 00:00:02,000\n<font {long}>one</font> [{long}] two ({long}) three *{long}* four #{long}# five") == "one two three four five".split()
