@@ -17,20 +17,31 @@ from quaymark.session import materialize
 _KEY, _ORDER, _ROW, _N = "__key", "__order", "__row", "__copies"
 
 
+def _told_apart(df: DataFrame) -> list[Column]:
+    """What of a row its hash is taken from: hashes skip nulls, so those get a sign of their own, and lists and structs are spelled out."""
+    out = []
+    for c, kind in df.dtypes:
+        col = F.col(f"`{c}`")
+        if "map<" in kind or "variant" in kind:
+            continue
+        out += [col.isNull(), F.to_json(F.struct(col.alias("x"))) if "<" in kind else col]
+    return out
+
+
 def keep_first(df: DataFrame, key: Column, order: Sequence[Column], copies: str | None = None, key_name: str | None = None) -> DataFrame:
-    """One row per value of `key`: the smallest by `order`, nulls last, then by the whole row.
+    """One row per value of `key`: the smallest by `order`, nulls last, then by a hash of the whole row.
 
     key: the message identifier, already normalised. Rows whose key is null can't be told to
     be copies: each stays as it is. order: arrival time first. copies: name of a column for the
     number of rows the message had (1 for rows without key). key_name: also return the key.
-    Ties in `order` are settled by all comparable columns, so any two runs agree; equal rows are
-    the same copy. An empty table gives an empty one; column names of the input aren't touched.
+    Ties in `order` are settled by a 128-bit hash of all comparable columns, so any two runs agree
+    and a row travels once; equal rows are the same copy. An empty table gives an empty one; column names of the input aren't touched.
     """
     names = df.columns
     rank = [F.struct(o.isNull().alias("n"), o.alias("v")) for o in order]
-    rest = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    rest = _told_apart(df)
     whole = F.struct(*[F.col(f"`{c}`") for c in names])
-    keyed = df.select(key.alias(_KEY), F.struct(*[r.alias(f"o{i}") for i, r in enumerate(rank)], F.xxhash64(*rest).alias("h"), F.struct(*rest).alias("r")).alias(_ORDER), whole.alias(_ROW))
+    keyed = df.select(key.alias(_KEY), F.struct(*[r.alias(f"o{i}") for i, r in enumerate(rank)], F.xxhash64(*rest).alias("h"), F.xxhash64(F.lit("second"), *rest).alias("g")).alias(_ORDER), whole.alias(_ROW))
     once = keyed.where(F.col(_KEY).isNotNull()).groupBy(_KEY).agg(F.min_by(_ROW, _ORDER).alias(_ROW), F.count(F.lit(1)).alias(_N))
     lone = keyed.where(F.col(_KEY).isNull()).select(_KEY, _ROW, F.lit(1).cast("bigint").alias(_N))
     out = once.select(_KEY, _ROW, _N).unionAll(lone)

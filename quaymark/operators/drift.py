@@ -182,7 +182,11 @@ def shared_values(models: DataFrame, tables: dict[str, list[Schema]], *, entity:
     hashes = sorted(used)
     place = {h: i for i, h in enumerate(hashes)}
     plans = [list(used[h]) for h in hashes]
-    todo_np = [(place[a], place[b], i, j, k) for a, b, i, j, k in todo]
+    # The pairs of columns by pair of schemas, as places in the schemas' values.
+    by_schemas: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    for a, b, i, j, k in todo:
+        by_schemas.setdefault((place[a], place[b]), []).append((i, j, k))
+    pairs_of = {ab: np.asarray(ijk).T for ab, ijk in by_schemas.items()}
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -196,16 +200,25 @@ def shared_values(models: DataFrame, tables: dict[str, list[Schema]], *, entity:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         eq, ne = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
         for b in batches:
-            seen = [{m["s"]: m["vals"] for m in ms} for ms in b.column(0).to_pylist()]
-            for a, c, i, j, k in todo_np:
-                for m in seen:
-                    if a in m and c in m:
-                        x, y = m[a][i], m[c][j]
-                        if x is not None or y is not None:
-                            if x == y:
-                                eq[k] += 1
-                            else:
-                                ne[k] += 1
+            if not b.num_rows:
+                continue
+            met = b.column(0)
+            row = np.repeat(np.arange(b.num_rows), met.value_lengths().to_numpy(zero_copy_only=False))
+            each = met.flatten()
+            which, vals = each.field(0).to_numpy(zero_copy_only=False), each.field(1)
+            of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for s in np.unique(which).tolist():
+                at = np.flatnonzero(which == s)
+                flat = vals.take(pa.array(at)).flatten().fill_null(-1)  # hashes are not negative
+                of[s] = row[at], flat.to_numpy(zero_copy_only=False).reshape(len(at), -1)
+            for (a, c), (i, j, k) in pairs_of.items():
+                if a not in of or c not in of:
+                    continue
+                _, x, y = np.intersect1d(of[a][0], of[c][0], assume_unique=True, return_indices=True)
+                u, v = of[a][1][x][:, i], of[c][1][y][:, j]
+                some = (u >= 0) | (v >= 0)
+                eq[k] += (some & (u == v)).sum(0)
+                ne[k] += (some & (u != v)).sum(0)
         hit = np.flatnonzero(eq + ne)
         yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(eq[hit]), pa.array(ne[hit])], ["k", "eq", "ne"])
 

@@ -50,6 +50,19 @@ class Shape:
         return out
 
 
+#: Bytes of text indexed at once; a longer text is indexed by itself.
+BYTES = 4 << 20
+
+
+def byte_slices(offsets: np.ndarray, most: int = BYTES) -> Iterator[tuple[int, int]]:
+    """Stretches of texts (from, to) of at most so many bytes, or of one text."""
+    a, n = 0, len(offsets) - 1
+    while a < n:
+        z = max(int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1, a + 1)
+        yield a, z
+        a = z
+
+
 SCHEMA = pa.schema([("record_id", pa.string()), ("child_path", pa.string()), ("idx", pa.string()), ("parent_idx", pa.string()), ("item", pa.string())])
 
 
@@ -112,6 +125,8 @@ def flatten(df: DataFrame, record_id: Column, text: Column, shape: Shape) -> Dat
             bufs = arr.buffers()
             offsets = np.frombuffer(bufs[1], np.int64)[arr.offset : arr.offset + len(arr) + 1]
             data = np.frombuffer(bufs[2], np.uint8) if bufs[2] is not None else np.empty(0, np.uint8)
-            yield flat_rows(b.column(0).to_pylist(), data, offsets, shape)
+            ids = b.column(0).to_pylist()
+            for a, z in byte_slices(offsets):
+                yield flat_rows(ids[a:z], data, offsets[a : z + 1], shape)
 
     return df.select(record_id.cast("string").alias("record_id"), text.cast("string").alias("text")).where("text is not null and record_id is not null").mapInArrow(run, "record_id string, child_path string, idx string, parent_idx string, item string")

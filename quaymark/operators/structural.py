@@ -32,20 +32,21 @@ _NUMBER = re.compile(rb"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
 _NESTED = re.compile(rb'"\s*(?:\\[nrt]\s*)*[\[{](?:\s|\\[nrt])*(?:\\"|[\[{\]}0-9tfn-])')
 
 
-def _opened(value: object, depth: int = 0) -> object:
+def _opened(value: object) -> object:
+    """JSON in strings is opened however deep: each level doubles what escapes it, so a text has few."""
     if isinstance(value, str):
         s = value.strip()
-        if depth < 16 and s[:1] in ("{", "[", '"') and s[-1:] in ("}", "]", '"'):
+        if s[:1] in ("{", "[", '"') and s[-1:] in ("}", "]", '"'):
             try:
                 inner = json.loads(s)
             except (ValueError, RecursionError):
                 return value
-            return _opened(inner, depth + 1) if isinstance(inner, (dict, list, str)) else value
+            return _opened(inner) if isinstance(inner, (dict, list, str)) else value
         return value
     if isinstance(value, list):
-        return [_opened(v, depth) for v in value]
+        return [_opened(v) for v in value]
     if isinstance(value, dict):
-        return {k: _opened(v, depth) for k, v in value.items()}
+        return {k: _opened(v) for k, v in value.items()}
     return value
 
 
@@ -92,11 +93,16 @@ class Index:
 
     @staticmethod
     def _quoted(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        lengths = np.diff(offsets)
-        first = np.zeros(len(lengths), np.uint8)
-        has = lengths > 0
-        first[has] = buf[offsets[:-1][has]]
-        return (first == 0x22) | _SPACE[first]
+        """Whether the first sign of each text, blanks aside, is a quote."""
+        at, end = offsets[:-1].copy(), offsets[1:]
+        led = np.flatnonzero((at < end) & _SPACE[buf[np.minimum(at, max(len(buf) - 1, 0))]]) if len(buf) else np.empty(0, np.int64)
+        if len(led):
+            solid = np.append(np.flatnonzero(~_SPACE[buf]), len(buf))
+            at[led] = solid[np.searchsorted(solid, at[led])]
+        has = at < end
+        out = np.zeros(len(at), bool)
+        out[has] = buf[at[has]] == 0x22
+        return out
 
     def _opened(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         docs = set(np.flatnonzero(self._quoted(np.frombuffer(raw, np.uint8), offsets)).tolist())
@@ -116,12 +122,12 @@ class Index:
         quote = buf == 0x22
         slash = buf == 0x5C
         if slash.any():
-            at = np.arange(n, dtype=np.int64)
-            other = np.where(slash, -1, at)
+            at = np.arange(n, dtype=np.int32 if n < 2**31 else np.int64)
+            other = np.where(slash, at.dtype.type(-1), at)
             heads = offsets[:-1][lengths > 0]
             other[heads] = np.maximum(other[heads], heads - 1)  # a run doesn't reach back into another text
             last_other = np.maximum.accumulate(other)
-            run = np.zeros(n, np.int64)
+            run = np.zeros(n, at.dtype)
             run[1:] = at[:-1] - last_other[:-1]
             run[heads] = 0
             quote &= run % 2 == 0

@@ -27,3 +27,11 @@ def test_batches(spark):
     got = sorted((r.id or "", r.at) for r in absorb([b1, b2, b3], F.col("id"), [F.col("at")]).collect())
     assert got == [("", 3), ("a", 1), ("b", 5), ("c", 2)]
     assert [r.id for r in unseen(b2, F.col("id"), b1, F.col("id"), [F.col("at")]).collect()] == ["b"]
+
+
+def test_ties_are_settled_by_every_column(spark):
+    """Rows that differ only in where their nulls are."""
+    rows = [("k", 1, a, b, l) for a in (None, "x") for b in (None, "x") for l in ([None, "y"], ["y", None], [], None)]
+    d = spark.createDataFrame(rows, "id string, at bigint, a string, b string, l array<string>")
+    kept = {str(keep_first(d.repartition(n), F.col("id"), [F.col("at")]).collect()) for n in (1, 3, 5, 16)}
+    assert len(kept) == 1

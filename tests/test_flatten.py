@@ -4,7 +4,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from quaymark.operators.flatten import Child, Shape, flatten, two_decimals
+from quaymark.operators.flatten import Child, Shape, byte_slices, flat_rows, flatten, two_decimals
 from quaymark.operators.structural import Index
 
 
@@ -91,3 +91,22 @@ def test_amounts(spark):
     shape = Shape((Child("claimed", "amount", spell=two_decimals),))
     texts = ['{"claimed":{"amount":5}}', '{"claimed":{"money":{"amount":"7.125"}}}', '{"claimed":[{"amount":1e2},{"amount":null},{"amount":"n/a"}]}']
     assert rows(spark, texts, shape) == [("r0", "claimed", "0", "5.00"), ("r1", "claimed", "0", "7.13"), ("r2", "claimed", "0", "100.00")]
+
+
+def test_texts_are_indexed_in_slices_of_bytes():
+    offsets = np.array([0, 3, 3, 9, 30, 31, 33])
+    assert list(byte_slices(offsets, 10)) == [(0, 3), (3, 4), (4, 6)]
+    assert list(byte_slices(offsets, 1)) == [(i, i + 1) for i in range(6)]
+    assert list(byte_slices(np.array([0]))) == []
+
+
+def test_strings_in_strings_however_deep():
+    text = '{"lines":[{"sku":"A"}]}'
+    inner = json.dumps([{"sku": "A"}])
+    for _ in range(18):
+        inner = json.dumps(inner)
+    assert len(inner) > 2**17
+    for t in (text, f'  \t{text}', json.dumps(text), "\n " + json.dumps(json.dumps(text)), '{"lines":' + inner + "}"):
+        raw = t.encode()
+        got = flat_rows(["r"], np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), Shape((Child("lines", "sku"),)))
+        assert got.column(4).to_pylist() == ["A"], t[:40]
