@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from quaymark.session import materialize
 
 STRETCHES = 64
-#: Distinct values, of all groups together, that are counted through without stretches.
-SMALL = 500_000
 
 #: Rank (from 0) of percentile p among n values, by rule.
 RULES = {
@@ -28,47 +26,43 @@ RULES = {
 
 
 def at_ranks(df: DataFrame, by: Sequence[str], value: Column, ps: Sequence[float], rule: str, stretches: int = STRETCHES) -> DataFrame:
-    """(by..., n, p, value): the value at each percentile's rank by `rule`. Nulls and NaN are no values; groups without values give no row."""
+    """(by..., n, mean, largest, p, value): the value at each percentile's rank by `rule`. Nulls and NaN are no values; groups without values give no row."""
     return _at(df, by, value, ps, [rule], stretches).drop("rule")
 
 
-def _at(df: DataFrame, by: Sequence[str], value: Column, ps: Sequence[float], rules: Sequence[str], stretches: int = STRETCHES, small: int | None = None) -> DataFrame:
-    small = SMALL if small is None else small
+def _at(df: DataFrame, by: Sequence[str], value: Column, ps: Sequence[float], rules: Sequence[str], stretches: int = STRETCHES) -> DataFrame:
     by = list(by)
     counted = df.select(*by, value.alias("v")).where("v is not null and not isnan(v)").groupBy(*by, "v").agg(F.count(F.lit(1)).alias("c"))
-    counted = materialize(counted, "counted")  # it is read three times
+    counted = materialize(counted, "counted")  # it is read twice
     asked = lambda n: F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(rule).alias("rule"), RULES[rule](F.lit(float(p)), n).cast("bigint").alias("r")) for p in ps for rule in rules])
-    if counted.count() <= small:  # all groups' values together are few: one window counts through them
-        run = counted.withColumn("upto", F.sum("c").over(Window.partitionBy(*by).orderBy("v"))).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
-        each = run.select("*", F.inline(asked(F.col("n"))))
-        return each.where("r < upto and r >= upto - c").select(*by, "n", "p", "rule", F.col("v").alias("value"))
     cut = [i / stretches for i in range(1, stretches)]
-    size = counted.groupBy(*by).agg(F.sum("c").alias("n"), F.percentile_approx("v", cut, 10000).alias("cuts"))
+    # A row per group: how many values, their mean, the largest, and where the stretches end.
+    n = F.sum("c")
+    size = counted.groupBy(*by).agg(F.struct(n.alias("n"), (F.sum(F.col("v").cast("double") * F.col("c")) / n).alias("mean"), F.max("v").alias("largest")).alias("of"), F.percentile_approx("v", cut, 10000).alias("cuts"))
     same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in by]
     place = F.size(F.filter("cuts", lambda x: x <= F.col("v"))).alias("s")
     near = counted.alias("a").join(size.alias("b"), same("a", "b")) if by else counted.alias("a").crossJoin(F.broadcast(size))  # without keys that is one row
-    d = near.select(*[F.col(f"a.{k}").alias(k) for k in by], "v", "c", "n", place)
-    sums = d.groupBy(*by, "s").agg(F.sum("c").alias("t"), F.first("n").alias("n"))
-    before = sums.withColumn("before", F.sum("t").over(Window.partitionBy(*by).orderBy("s")) - F.col("t"))
-    want = before.select("*", F.inline(asked(F.col("n")))).where("r >= before and r < before + t").select(*by, "s", "n", "p", "rule", "r", "before")
+    d = near.select(*[F.col(f"a.{k}").alias(k) for k in by], "v", "c", "of", place)
+    sums = d.groupBy(*by, "s").agg(F.sum("c").alias("t"), F.first("of").alias("of"))
+    before = sums.withColumn("before", F.sum("t").over(Window.partitionBy(*by).orderBy("s")) - F.col("t"))  # a row per stretch
+    want = before.select("*", F.inline(asked(F.col("of.n")))).where("r >= before and r < before + t").select(*by, "s", "of", "p", "rule", "r", "before")
     w = Window.partitionBy(*by, "s").orderBy("v")
-    inside = d.alias("d").join(want.select(*by, "s").distinct().alias("q"), [*same("d", "q"), F.col("d.s") == F.col("q.s")], "left_semi")
+    inside = d.drop("of").alias("d").join(want.select(*by, "s").distinct().alias("q"), [*same("d", "q"), F.col("d.s") == F.col("q.s")], "left_semi")
     inside = inside.withColumn("upto", F.sum("c").over(w))
     out = want.alias("w").join(inside.alias("i"), [*same("w", "i"), F.col("w.s") == F.col("i.s")])
     hit = (F.col("w.r") >= F.col("w.before") + F.col("i.upto") - F.col("i.c")) & (F.col("w.r") < F.col("w.before") + F.col("i.upto"))
-    return out.where(hit).select(*[F.col(f"w.{k}").alias(k) for k in by], F.col("w.n").alias("n"), F.col("w.p").alias("p"), F.col("w.rule").alias("rule"), F.col("i.v").alias("value"))
+    return out.where(hit).select(*[F.col(f"w.{k}").alias(k) for k in by], "w.of.*", F.col("w.p").alias("p"), F.col("w.rule").alias("rule"), F.col("i.v").alias("value"))
 
 
 def interpolated(df: DataFrame, by: Sequence[str], value: Column, ps: Sequence[float]) -> DataFrame:
-    """(by..., n, p, value): between the two values around rank p (n - 1), in proportion."""
+    """(by..., n, mean, largest, p, value): between the two values around rank p (n - 1), in proportion."""
     both = _at(df, by, value, ps, ["lower", "upper"])
     of = lambda r: F.max(F.when(F.col("rule") == r, F.col("value")))
-    pair = both.groupBy(*by, "n", "p").agg(of("lower").alias("lo"), of("upper").alias("hi"))
+    pair = both.groupBy(*by, "n", "mean", "largest", "p").agg(of("lower").alias("lo"), of("upper").alias("hi"))
     at = F.col("p") * (F.col("n") - 1)
-    return pair.select(*by, "n", "p", (F.col("lo") + (F.col("hi") - F.col("lo")) * (at - F.floor(at))).alias("value"))
-
+    return pair.select(*by, "n", "mean", "largest", "p", (F.col("lo") + (F.col("hi") - F.col("lo")) * (at - F.floor(at))).alias("value"))
 
 
 def wide(df: DataFrame, by: Sequence[str], names: dict[float, str]) -> DataFrame:
-    """Percentiles as columns."""
-    return df.groupBy(*by).agg(F.first("n").alias("n"), *[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for p, n in names.items()])
+    """Percentiles as columns, beside n, mean and largest."""
+    return df.groupBy(*by).agg(*[F.first(c).alias(c) for c in ("n", "mean", "largest")], *[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for p, n in names.items()])

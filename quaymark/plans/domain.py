@@ -11,6 +11,7 @@ from quaymark.functions.text import flow_of
 from quaymark.operators import ranks, series
 from quaymark.operators.asof import asof_join
 from quaymark.operators.latest import latest_by
+from quaymark.operators.trees import rooted
 from quaymark.sources.envelopes import fills, ticks
 from quaymark.sources.tables import table
 
@@ -70,8 +71,8 @@ def state_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT sm_type, count(latency_ms) AS n, round(avg(latency_ms), 4) AS avg_ms, max(latency_ms) AS max_ms, list_sort(list(latency_ms) FILTER (latency_ms IS NOT NULL))[least(count(latency_ms), floor(0.5 * count(latency_ms)) + 1)::int] AS p50, list_sort(list(latency_ms) FILTER (latency_ms IS NOT NULL))[least(count(latency_ms), floor(0.95 * count(latency_ms)) + 1)::int] AS p95 FROM ({_LATEST}) WHERE latency_ms IS NOT NULL GROUP BY 1")
 def completion_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = snapshots_latest(spark, sf_dir).where("latency_ms is not null").withColumn("latency_ms", F.col("latency_ms").cast("bigint"))
-    a = s.groupBy("sm_type").agg(F.round(F.avg("latency_ms"), 4).alias("avg_ms"), F.max("latency_ms").alias("max_ms"))
-    return a.join(ranks.wide(ranks.at_ranks(s, ["sm_type"], F.col("latency_ms"), [0.5, 0.95], "floor"), ["sm_type"], {0.5: "p50", 0.95: "p95"}), "sm_type")
+    r = ranks.wide(ranks.at_ranks(s, ["sm_type"], F.col("latency_ms"), [0.5, 0.95], "floor"), ["sm_type"], {0.5: "p50", 0.95: "p95"})
+    return r.select("sm_type", "n", F.round("mean", 4).alias("avg_ms"), F.col("largest").alias("max_ms"), "p50", "p95")
 
 
 _ORDERS = """(SELECT entity_id, state, try_cast(json_extract_string(model_json, '$.total.amount') AS decimal(38,4)) AS amount, json_extract_string(model_json, '$.total.currency') AS currency FROM entity_snapshot
@@ -281,8 +282,8 @@ def lifetimes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""SELECT stage, count(x) AS n, quantile_cont(x, 0.5) AS p50, quantile_cont(x, 0.99) AS p99, round(avg(x), 4) AS mean FROM (SELECT stage, try_cast(nullif(regexp_extract(detail, 'e2eMs=(-?[0-9]+)', 1), '') AS double) AS x FROM """ + _TRACE + """) WHERE x IS NOT NULL GROUP BY 1""")
 def e2e_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _traces(spark, sf_dir).select("stage", F.nullif(F.regexp_extract("detail", r"e2eMs=(-?[0-9]+)", 1), F.lit("")).try_cast("double").alias("x")).where("x is not null")
-    a = d.groupBy("stage").agg(F.round(F.avg("x"), 4).alias("mean"))
-    return a.join(ranks.wide(ranks.interpolated(d, ["stage"], F.col("x"), [0.5, 0.99]), ["stage"], {0.5: "p50", 0.99: "p99"}), "stage")
+    r = ranks.wide(ranks.interpolated(d, ["stage"], F.col("x"), [0.5, 0.99]), ["stage"], {0.5: "p50", 0.99: "p99"})
+    return r.select("stage", "n", "p50", "p99", F.round("mean", 4).alias("mean"))
 
 
 _PIVOT = "(SELECT event_id, min(ts) FILTER (stage = 'RECEIVED') AS received, min(ts) FILTER (stage = 'LOCK_GRANTED') AS granted, min(ts) FILTER (stage = 'TRANSITION') AS moved, min(ts) FILTER (stage = 'DONE') AS done FROM event_trace GROUP BY 1)"
@@ -296,8 +297,8 @@ def pipeline_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = t.groupBy("event_id").agg(at("RECEIVED").alias("r"), at("LOCK_GRANTED").alias("g"), at("TRANSITION").alias("m"), at("DONE").alias("d"))
     part = lambda n, a, b: F.struct(F.lit(n).alias("section"), (F.col(b) - F.col(a)).cast("double").alias("us"))
     s = p.select(F.inline(F.array(part("lock", "r", "g"), part("apply", "g", "m"), part("finish", "m", "d"), part("total", "r", "d")))).where("us is not null")
-    a = s.groupBy("section").agg(F.round(F.avg("us"), 3).alias("mean_us"))
-    return a.join(ranks.wide(ranks.interpolated(s, ["section"], F.col("us"), [0.5, 0.99]), ["section"], {0.5: "p50_us", 0.99: "p99_us"}), "section")
+    r = ranks.wide(ranks.interpolated(s, ["section"], F.col("us"), [0.5, 0.99]), ["section"], {0.5: "p50_us", 0.99: "p99_us"})
+    return r.select("section", "n", F.round("mean", 3).alias("mean_us"), "p50_us", "p99_us")
 
 
 # -- performance runs --
@@ -333,9 +334,8 @@ def last_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every event without parent: the events it caused, and how deep."""
     k = lambda c: F.lower(F.trim(c))
-    table(spark, sf_dir, "event_envelope").select(k("event_id").alias("id"), k("parent_event_id").alias("parent")).distinct().createOrReplaceTempView("qm_tree")
-    return spark.sql("""WITH RECURSIVE t(root, id, depth) AS (SELECT id, id, 0 FROM qm_tree WHERE parent IS NULL UNION ALL SELECT t.root, e.id, t.depth + 1 FROM t JOIN qm_tree e ON e.parent = t.id)
-      SELECT root, count(*) AS events, max(depth) AS depth FROM t GROUP BY root""")
+    e = table(spark, sf_dir, "event_envelope").select(k("event_id").alias("id"), k("parent_event_id").alias("parent")).where("id is not null").distinct()
+    return rooted(e, "id", "parent").groupBy("root").agg(F.count(F.lit(1)).alias("events"), F.max("depth").alias("depth"))
 
 
 @query("""SELECT sm_type, count(*) AS n, count(*) FILTER (r.id IS NULL) AS missing, count(*) FILTER (r.version < s.version) AS stale, count(*) FILTER (r.version > s.version) AS ahead FROM sm_state s LEFT JOIN (SELECT trim(workflow_id, ' ' || chr(9)) AS id, max(version) AS version FROM sm_state_replica GROUP BY 1) r ON s.workflow_id = r.id GROUP BY 1""")

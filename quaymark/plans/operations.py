@@ -77,8 +77,8 @@ def published_per_second(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lock_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda s: F.min(F.when(F.col("stage") == s, micros("ts")))
     w = _traces(spark, sf_dir).groupBy("event_id").agg(at("LOCK_WAIT").alias("a"), at("LOCK_GRANTED").alias("z")).where("a is not null and z is not null").withColumn("us", (F.col("z") - F.col("a")).cast("double"))
-    s = w.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("us") / 1000), 4).alias("mean_ms"), (F.max("us") / 1000).alias("max_ms"))
-    return s.crossJoin(F.broadcast(ranks.wide(ranks.interpolated(w, [], F.col("us"), [0.5]), [], {0.5: "p50_us"}).drop("n")))  # one row each
+    r = ranks.wide(ranks.interpolated(w, [], F.col("us"), [0.5]), [], {0.5: "p50_us"})
+    return r.select("n", F.round(F.col("mean") / 1000, 4).alias("mean_ms"), (F.col("largest") / 1000).alias("max_ms"), "p50_us")
 
 
 @query(f"""WITH d AS (SELECT event_id, epoch_us(min(ts) FILTER (stage = 'DONE')) - epoch_us(min(ts) FILTER (stage = 'RECEIVED')) AS us, arg_min(workflow_id, ts) FILTER (stage = 'RECEIVED' AND workflow_id IS NOT NULL) AS w, min(ts) FILTER (stage = 'RECEIVED') AS got FROM {_TRACE} GROUP BY 1),
@@ -149,7 +149,7 @@ def runs_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "perf_samples").distinct().withColumn("kind", F.regexp_extract("run_id", "([a-z]+)$", 1)).where("completed_per_sec >= 0 and not isnan(completed_per_sec) and completed_per_sec < double('Infinity')")
     ok = F.col("loading") & (F.col("latency_p50") >= 0) & ~F.isnan("latency_p50") & (F.col("latency_p50") < float("inf"))
     a = s.groupBy("kind").agg(F.countDistinct("run_id").alias("runs"), F.round(F.avg(F.when(ok, F.col("latency_p50"))), 6).alias("mean_p50"))
-    return a.join(ranks.wide(ranks.interpolated(s, ["kind"], F.col("completed_per_sec"), [0.5]), ["kind"], {0.5: "median_rate"}).drop("n"), "kind")
+    return a.join(ranks.wide(ranks.interpolated(s, ["kind"], F.col("completed_per_sec"), [0.5]), ["kind"], {0.5: "median_rate"}).select("kind", "median_rate"), "kind")
 
 
 @query(f"""SELECT symbol, seq, sum(last_size) OVER w AS traded, row_number() OVER w AS place FROM {_TICKS} WHERE last_size > 0 WINDOW w AS (PARTITION BY symbol ORDER BY ts_millis, seq)""")

@@ -36,7 +36,7 @@ def checked(sql: str) -> str:
 
 
 def guarded(spark: SparkSession, sql: str, rows: int = MAX_ROWS) -> tuple[DataFrame, bool]:
-    """(result of at most `rows` rows, whether there were more)."""
+    """(result of at most `rows` rows, whether there were more). The statement runs once; its capped result is what the caller gets."""
     d = spark.sql(checked(sql))
-    more = d.limit(rows + 1).count() > rows
-    return d.limit(rows), more
+    got = d.limit(rows + 1).collect()
+    return spark.createDataFrame(got[:rows], d.schema), len(got) > rows

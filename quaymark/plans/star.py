@@ -180,19 +180,18 @@ def order_state_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_completion_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     d = o.join(l, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderstatus", F.datediff("l_shipdate", "o_orderdate").cast("double").alias("d"))
-    a = d.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("d"), 6).alias("avg_days"), F.max("d").cast("bigint").alias("max_days"))
-    p = ranks.wide(ranks.interpolated(d, ["o_orderstatus"], F.col("d"), [0.5, 0.95]), ["o_orderstatus"], {0.5: "p50", 0.95: "p95"}).drop("n")
-    return a.join(p, "o_orderstatus")
+    r = ranks.wide(ranks.interpolated(d, ["o_orderstatus"], F.col("d"), [0.5, 0.95]), ["o_orderstatus"], {0.5: "p50", 0.95: "p95"})
+    return r.select("o_orderstatus", "n", F.round("mean", 6).alias("avg_days"), F.col("largest").cast("bigint").alias("max_days"), "p50", "p95")
 
 
 @query("SELECT event_type, count(*) AS n, list_sort(list(value))[least(count(*), floor(0.5 * count(*)) + 1)::int] AS p50, list_sort(list(value))[least(count(*), floor(0.95 * count(*)) + 1)::int] AS p95 FROM events GROUP BY 1")
 def floor_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranks.wide(ranks.at_ranks(table(spark, sf_dir, "events"), ["event_type"], F.col("value"), [0.5, 0.95], "floor"), ["event_type"], {0.5: "p50", 0.95: "p95"})
+    return ranks.wide(ranks.at_ranks(table(spark, sf_dir, "events"), ["event_type"], F.col("value"), [0.5, 0.95], "floor"), ["event_type"], {0.5: "p50", 0.95: "p95"}).drop("mean", "largest")
 
 
 @query("SELECT event_type, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1")
 def nearest_rank_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranks.wide(ranks.at_ranks(table(spark, sf_dir, "events"), ["event_type"], F.col("value"), [0.5, 0.99], "nearest"), ["event_type"], {0.5: "p50", 0.99: "p99"})
+    return ranks.wide(ranks.at_ranks(table(spark, sf_dir, "events"), ["event_type"], F.col("value"), [0.5, 0.99], "nearest"), ["event_type"], {0.5: "p50", 0.99: "p99"}).drop("mean", "largest")
 
 
 @query("SELECT c_custkey, c_name, n_name AS nation, r_name AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
@@ -224,9 +223,8 @@ def orders_with_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_mktsegment AS currency, o_orderstatus AS state, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL")
 def money_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "orders").createOrReplaceTempView("qm_orders")
-    table(spark, sf_dir, "customer").createOrReplaceTempView("qm_customer")
-    return spark.sql("SELECT c_mktsegment AS currency, o_orderstatus AS state, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean, count(*) AS n FROM qm_orders JOIN qm_customer ON o_custkey = c_custkey GROUP BY ALL")
+    text = "SELECT c_mktsegment AS currency, o_orderstatus AS state, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean, count(*) AS n FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY ALL"
+    return spark.sql(text, orders=table(spark, sf_dir, "orders"), customer=table(spark, sf_dir, "customer"))
 
 
 @query("SELECT 'customer' AS kind, c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier UNION ALL SELECT 'part', p_partkey, p_name FROM part")
@@ -238,8 +236,7 @@ def union_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, user_id, value FROM events WHERE event_type = 'view' AND user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase') AND ts >= (SELECT min(ts) - INTERVAL 1 MINUTE FROM events WHERE event_type = 'purchase')")
 def semi_in_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    e.createOrReplaceTempView("qm_events")
-    return spark.sql("SELECT event_id, user_id, value FROM qm_events WHERE event_type = 'view' AND user_id IN (SELECT user_id FROM qm_events WHERE event_type = 'purchase') AND ts >= (SELECT min(ts) - INTERVAL 1 MINUTE FROM qm_events WHERE event_type = 'purchase')")
+    return spark.sql("SELECT event_id, user_id, value FROM {e} WHERE event_type = 'view' AND user_id IN (SELECT user_id FROM {e} WHERE event_type = 'purchase') AND ts >= (SELECT min(ts) - INTERVAL 1 MINUTE FROM {e} WHERE event_type = 'purchase')", e=e)
 
 
 @query("""SELECT trim(s.workflow_id) AS workflow_id, CASE WHEN r.version IS NULL THEN 'missing' WHEN r.version < s.version THEN 'stale' WHEN r.version > s.version THEN 'ahead' ELSE 'equal' END AS status
