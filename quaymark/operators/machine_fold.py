@@ -11,14 +11,30 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-#: Rows a task hands on at once.
-_ROWS = 20_000
+def composed(to: np.ndarray, counts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's map (rows x states) after those of the rows before it in its stretch, and the counts along the way; stretches begin where `first` is set.
+
+    Stretches double in each round: a row takes in the row as far before it as it has taken in already.
+    """
+    to, counts, whole = to.copy(), counts.copy(), first.copy()
+    whole[:1] = True
+    step = 1
+    while not whole.all():
+        at = np.flatnonzero(~whole)
+        before = at - step
+        via = to[before]
+        counts[at] = counts[before] + np.take_along_axis(counts[at], via, 1)
+        to[at] = np.take_along_axis(to[at], via, 1)
+        whole[at] = whole[before]
+        step *= 2
+    return to, counts
 
 
 @dataclass(frozen=True)
@@ -58,38 +74,58 @@ def replay(events: DataFrame, key: Column, event: Column, order: Sequence[Column
     deduplicate first.
     """
     states = spec.states
+    size = len(states)
     place = {s: i for i, s in enumerate(states)}
-    edges = {(place[a], e): place[b] for (a, e), b in spec.edges.items()}
-    ends = {place[s] for s in spec.terminals if s in place}
-    d = events.select(key.cast("string").alias("key"), event.cast("string").alias("event"), event_id.cast("string").alias("event_id"), F.coalesce(block.cast("bigint"), F.lit(-(2**62))).alias("block"), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("o")).where("key is not null")
-
-    def runs(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-        """The rows of a sorted partition, each with whether it begins a new (key, block)."""
-        last = None
+    names = sorted({e for _, e in spec.edges})
+    # The map of each event: state to state, and whether it counts; the last row is that of unknown events.
+    to = np.tile(np.arange(size), (len(names) + 1, 1))
+    counts = np.zeros((len(names) + 1, size), np.int64)
+    for (a, e), b in spec.edges.items():
+        to[names.index(e), place[a]] = place[b]
+        counts[names.index(e), place[a]] = 1
+    ends = np.isin(np.arange(size), [place[s] for s in spec.terminals if s in place])
+    code = F.lit(len(names))
+    for i, e in enumerate(names):
+        code = F.when(F.col("event") == e, F.lit(i)).otherwise(code)
+    d = events.select(key.cast("string").alias("key"), event.cast("string").alias("event"), event_id.cast("string").alias("event_id"), F.coalesce(block.cast("bigint"), F.lit(-(2**62))).alias("block"), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("o")).where("key is not null").withColumn("code", code)
+
+    def through(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of sorted rows: the frame, where new (key, block) stretches begin, and each row's map and counts from the stretch's start up to the row itself."""
+        last, held = None, None
         for f in frames:
-            for row in f.itertuples(index=False):
-                yield (row.key, row.block) != last, row
-                last = (row.key, row.block)
+            if not len(f):
+                continue
+            k, b = f["key"].to_numpy(object), f["block"].to_numpy()
+            first = np.empty(len(f), bool)
+            first[0] = (k[0], b[0]) != last
+            first[1:] = (k[1:] != k[:-1]) | (b[1:] != b[:-1])
+            c = f["code"].to_numpy()
+            at, n = composed(to[c], counts[c], first)
+            if not first[0]:  # the stretch began in a frame before
+                z = len(f) if not first.any() else int(first.argmax())
+                n[:z] = held[1] + n[:z][:, held[0]]
+                at[:z] = at[:z][:, held[0]]
+            last, held = (k[-1], b[-1]), (at[-1].copy(), n[-1].copy())
+            yield f, first, at, n
 
     def compose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
-        at, n = [], []
-        for new, row in runs(frames):
-            if new:
-                at, n = list(range(len(states))), [0] * len(states)
-                out.append((row.key, row.block, at, n))
-                if len(out) > _ROWS:  # all but the one that is being filled
-                    yield pd.DataFrame(out[:-1], columns=["key", "block", "to", "n"])
-                    out = out[-1:]
-            for i, s in enumerate(at):
-                t = edges.get((s, row.event))
-                if t is not None:
-                    at[i] = t
-                    n[i] += 1
-        yield pd.DataFrame(out, columns=["key", "block", "to", "n"])
+        open_: tuple | None = None
+        for f, first, at, n in through(frames):
+            begins = np.flatnonzero(first)
+            if open_ is not None and first[0]:
+                yield pd.DataFrame([open_], columns=["key", "block", "to", "n"])
+            ends_at = np.append(begins[1:] - 1, len(f) - 1) if len(begins) else np.array([len(f) - 1])
+            if len(begins) and begins[0] > 0:
+                ends_at = np.append(begins[0] - 1, ends_at)
+            rows = list(zip(f["key"].to_numpy(object)[ends_at], f["block"].to_numpy()[ends_at].tolist(), at[ends_at].tolist(), n[ends_at].tolist()))
+            open_ = rows.pop()  # may go on in the next frame
+            if rows:
+                yield pd.DataFrame(rows, columns=["key", "block", "to", "n"])
+        if open_ is not None:
+            yield pd.DataFrame([open_], columns=["key", "block", "to", "n"])
 
     ranked = d.repartition("key", "block").sortWithinPartitions("key", "block", "o").drop("o")
-    maps = ranked.select("key", "block", "event").mapInPandas(compose, "key string, block bigint, to array<int>, n array<bigint>")
+    maps = ranked.select("key", "block", "code").mapInPandas(compose, "key string, block bigint, to array<int>, n array<bigint>")
     # A key's maps, one small row per block, run through once.
     def starts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, s, v = None, 0, 0
@@ -105,23 +141,15 @@ def replay(events: DataFrame, key: Column, event: Column, order: Sequence[Column
     start = maps.repartition("key").sortWithinPartitions("key", "block").mapInPandas(starts, "key string, block bigint, s int, v bigint")
 
     def tell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["key", "event_id", "event", "from_state", "to_state", "outcome", "version"]
-        out: list[tuple] = []
-        s = v = 0
-        for new, row in runs(frames):
-            if new:
-                s, v = int(row.s), int(row.v)
-            t = edges.get((s, row.event))
-            if t is None:
-                out.append((row.key, row.event_id, row.event, states[s], states[s], "REJECTED", v))
-            else:
-                v += 1
-                out.append((row.key, row.event_id, row.event, states[s], states[t], "TERMINAL" if t in ends else "ACCEPTED", v))
-                s = t
-            if len(out) >= _ROWS:
-                yield pd.DataFrame(out, columns=names)
-                out = []
-        yield pd.DataFrame(out, columns=names)
+        label, last = np.asarray(states, object), 0
+        for f, first, at, n in through(frames):
+            s, row = f["s"].to_numpy(), np.arange(len(f))
+            after, version = at[row, s], f["v"].to_numpy() + n[row, s]
+            before = np.where(first, s, np.concatenate([[last], after[:-1]]))
+            last = after[-1]
+            good = counts[f["code"].to_numpy(), before] > 0
+            outcome = np.where(~good, "REJECTED", np.where(ends[after], "TERMINAL", "ACCEPTED"))
+            yield pd.DataFrame({"key": f["key"], "event_id": f["event_id"], "event": f["event"], "from_state": label[before], "to_state": label[after], "outcome": outcome, "version": version})
 
     told = d.join(start, ["key", "block"]).repartition("key", "block").sortWithinPartitions("key", "block", "o").drop("o")
     return told.mapInPandas(tell, "key string, event_id string, event string, from_state string, to_state string, outcome string, version bigint")

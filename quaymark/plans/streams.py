@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaymark.functions.columns import micros
 from quaymark.operators.machine_fold import Transitions, entities, replay
-from quaymark.session import shared_dir
+from quaymark.session import scratch
 from quaymark.sources.tables import table
+from quaymark.streaming.pipeline import deduplicated
+
+#: How long after its first copy another may come.
+DELAY = "45 days"
 
 #: A visitor's last deliberate step; signing up twice and errors are refused.
 VISIT = Transitions.parse("new", "; ".join(f"{s} -{e}-> {e}" for s in ("new", "view", "click", "purchase", "signup") for e in ("view", "click", "purchase", "signup") if (s, e) != ("signup", "signup")))
@@ -42,11 +44,16 @@ def machine_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streamed_distinct_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events per type, each id once, counted by a stream over the table's files; run until they are read."""
+    """Events per type, each id once, counted by a stream over the table's files; run until they are read.
+
+    Copies are told by id as long as they come within DELAY of ingest time; ids older than that
+    leave the state. Deliveries of unknown time (0) count as of the time at which they are read.
+    """
     src = table(spark, sf_dir, "event_envelope")
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     s = spark.readStream.schema(src.schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/event_envelope.parque[t]")
-    one = s.select("sm_type", F.lower(F.trim("event_id")).alias("id"), F.timestamp_millis(F.lit(10**12)).alias("at")).withWatermark("at", "1 hour").dropDuplicatesWithinWatermark(["id"])
+    ms = F.when(F.col("ingest_ts_millis") > 0, F.timestamp_millis("ingest_ts_millis")).otherwise(F.current_timestamp())
+    one = deduplicated(s.select("sm_type", F.lower(F.trim("event_id")).alias("id"), ms.alias("at")).where("id is not null"), "id", F.col("at"), DELAY)
     q = one.select("sm_type", "id").writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema("sm_type string, id string").parquet(f"{base}/out").groupBy("sm_type").agg(F.count("id").alias("events"))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
 import tempfile
 import uuid
 
@@ -44,22 +42,58 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_WRITTEN: list[str] = []
+class Files:
+    """A few file operations on whatever file system a path names."""
 
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self._jvm = spark._jvm
+        self._fs = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-@atexit.register
-def _drop_written() -> None:
-    """Tables written by this driver go when it ends; on other file systems than the local one the cluster's own expiry does that."""
-    for path in _WRITTEN:
-        local = path.removeprefix("file:")
-        if local.startswith("/"):
-            shutil.rmtree("/" + local.lstrip("/"), ignore_errors=True)
+    def _path(self, path: str):  # noqa: ANN202
+        return self._jvm.org.apache.hadoop.fs.Path(path)
+
+    def names(self, folder: str) -> list[str]:
+        if not self._fs.exists(self._path(folder)):
+            return []
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(folder)))
+
+    def read(self, path: str) -> str:
+        stream = self._fs.open(self._path(path))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write_new(self, path: str, text: str) -> bool:
+        """The file appears whole or not at all; False if it is there already."""
+        draft = f"{path}.{uuid.uuid4().hex}"
+        out = self._fs.create(self._path(draft), True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        if not self._fs.exists(self._path(path)) and self._fs.rename(self._path(draft), self._path(path)):
+            return True
+        self.delete(draft)
+        return False
+
+    def delete(self, path: str) -> None:
+        self._fs.delete(self._path(path), True)
+
+    def delete_at_end(self, path: str) -> None:
+        """When the driver's JVM ends."""
+        self._fs.deleteOnExit(self._path(path))
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder for what this driver writes; it goes when the driver ends, on any file system."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    Files(spark, path).delete_at_end(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     """Write df once to the shared folder and read it back: cuts the lineage and survives a lost executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    path = scratch(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +10,7 @@ from pyspark.sql import types as T
 
 from quaymark.operators.latest import versioned_upsert
 from quaymark.operators.machine_fold import Transitions, streaming_fold
+from quaymark.session import Files
 
 ENVELOPE = "event_id string, sm_type string, instance_key string, event_type string, payload string, ingest_ts_millis bigint, seq bigint"
 
@@ -49,40 +48,57 @@ def folded(d: DataFrame, spec: Transitions, key: str, event: str, order: str) ->
 
 
 class VersionedTable:
-    """A table of parquet versions with an exactly-once upsert: a batch that was applied already does nothing.
+    """A table with an exactly-once upsert, for foreachBatch: a batch that was applied already does nothing.
 
-    The pointer file names the current version and the last batch. It is replaced in one rename, after the new version is written, so a restart sees either all of a batch or nothing of it.
+    Keys are spread over buckets by their hash; a batch rewrites the buckets it touches and no
+    others. One small file per batch says where each bucket stands. It is written last, whole or
+    not at all, so a reader or a restart sees either all of a batch or nothing of it. All files go
+    through the file system that the folder names.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str, key: str, version: str, order: str) -> None:
-        self.spark, self.folder, self.key, self.version, self.order = spark, folder, key, version, order
+    def __init__(self, spark: SparkSession, folder: str, schema: str, key: str, version: str, order: str, buckets: int = 64) -> None:
+        self.spark, self.folder, self.key, self.version, self.order, self.buckets = spark, folder.rstrip("/"), key, version, order, buckets
         self.schema = T._parse_datatype_string(schema)
-        os.makedirs(folder, exist_ok=True)
+        self.files = Files(spark, folder)
 
-    def _pointer(self) -> dict:
-        try:
-            with open(f"{self.folder}/current.json") as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return {"path": None, "batch": -1}
+    def _standings(self) -> list[str]:
+        return [n for n in self.files.names(f"{self.folder}/standing") if n.endswith(".json")]
+
+    def _standing(self) -> dict:
+        """{batch, buckets: {number: folder}} after the last batch."""
+        names = self._standings()
+        return json.loads(self.files.read(f"{self.folder}/standing/{names[-1]}")) if names else {"batch": -1, "buckets": {}}
+
+    def _rows(self, at: dict[str, str]) -> DataFrame:
+        if not at:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.folder}/{p}" for p in at.values()])
 
     def read(self) -> DataFrame:
-        p = self._pointer()["path"]
-        return self.spark.read.schema(self.schema).parquet(p) if p else self.spark.createDataFrame([], self.schema)
+        return self._rows(self._standing()["buckets"])
 
     def upsert(self, batch: DataFrame, batch_id: int) -> None:
-        """For foreachBatch: the batch's highest version of each key, where it exceeds the stored one."""
-        if batch_id <= self._pointer()["batch"]:
+        """The batch's highest version of each key, where it exceeds the stored one. Rows without key are left out."""
+        now = self._standing()
+        if batch_id <= now["batch"]:
+            return
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+        batch = batch.where(F.col(self.key).isNotNull()).select(*self.schema.names)
+        touched = [str(r[0]) for r in batch.select(bucket).distinct().collect()]  # at most `buckets` numbers
+        new = versioned_upsert(self._rows({k: p for k, p in now["buckets"].items() if k in touched}), batch, self.key, self.version, F.col(self.order))
+        data = f"data/{batch_id:019d}"
+        new.select(*self.schema.names).withColumn("__bucket", bucket).repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{self.folder}/{data}")
+        now = {"batch": batch_id, "buckets": now["buckets"] | {k: f"{data}/__bucket={k}" for k in touched}}
+        if self.files.write_new(f"{self.folder}/standing/{batch_id:019d}.json", json.dumps(now)):
+            self._drop_old()
+
+    def _drop_old(self) -> None:
+        """Of what no standing but the last two names; readers may still hold the one before."""
+        names = self._standings()
+        if len(names) < 3:
             return
-        new = versioned_upsert(self.read(), batch, self.key, self.version, F.col(self.order))
-        path = f"{self.folder}/v{batch_id}"
-        new.select(*self.schema.names).write.mode("overwrite").parquet(path)
-        with open(f"{self.folder}/next.json", "w") as f:
-            json.dump({"path": path, "batch": batch_id}, f)
-        os.replace(f"{self.folder}/next.json", f"{self.folder}/current.json")
-        for old in os.listdir(self.folder):  # the one before stays for readers
-            m = re.fullmatch(r"v(\d+)", old)
-            if m and int(m.group(1)) < batch_id - 1:
-                import shutil
-
-                shutil.rmtree(f"{self.folder}/{old}", ignore_errors=True)
+        text = [json.loads(self.files.read(f"{self.folder}/standing/{n}"))["buckets"] for n in names[-3:]]
+        for p in set(text[0].values()) - set(text[1].values()) - set(text[2].values()):
+            self.files.delete(f"{self.folder}/{p}")
+        for n in names[:-2]:
+            self.files.delete(f"{self.folder}/standing/{n}")

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quaymark.operators.event_flows import EVENTS, STATES, Blocking, Handler, Rejected, components, decide, lock_keys, run_flows
+from quaymark.operators.event_flows import EVENTS, STATES, Blocking, Handler, Rejected, _keys, components, decide, lock_keys, run_flows
 
 
 def create(p, ctx):
@@ -90,3 +90,28 @@ def test_flow(spark):
 def test_empty(spark):
     out, _, left = go(spark, [])
     assert out == {} and left == set()
+
+
+def test_keys_of_events_as_expressions(spark):
+    payloads = ['{"id":"1","customer":"c"}', '{"id":7,"customer":"c"}', '{"id":" ","customer":"c"}', '{"customer":"c"}', '{"id":null}', "[1]", "broken", "", None]
+    d = spark.createDataFrame([(f"e{i}", "Create", p) for i, p in enumerate(payloads)] + [("n", "Nope", "{}"), ("f", "Flaky", "{}")], "event_id string, event_type string, payload string")
+    keys, error = _keys(HANDLERS)
+    got = {r.event_id: (r.k, r.e) for r in d.select("event_id", keys.alias("k"), error.alias("e")).collect()}
+    assert got["e0"] == (["customer:c", "order:1"], None) and got["e1"] == (["customer:c", "order:7"], None) and got["f"] == (["misc:f"], None) and got["n"] == (["event:n"], None)
+    assert [got[f"e{i}"][1] for i in range(2, 9)] == ["no id for order:{id}"] * 3 + [None] * 4
+    assert all(got[f"e{i}"][0] == [f"event:e{i}"] for i in range(5, 9))
+
+
+def test_a_busy_key_streams_in_order(spark):
+    def count(p, ctx):
+        ctx.save("k:1", {"n": (ctx.state("k:1") or {"n": 0})["n"] + 1, "last": p["i"]})
+
+    n = 3000
+    rows = [(f"e{i:05}", "Count", json.dumps({"i": i, "k": 1}), i, 0, None, None, 0) for i in reversed(range(n))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        out, states, left = run_flows(spark.createDataFrame(rows, EVENTS), spark.createDataFrame([("k:1", '{"n": 5}', 3)], STATES), {"Count": Handler(count, "d", ("k:{k}",))}, 0)
+        assert out.where("status = 'DONE'").count() == n and left.count() == 0
+        assert [(json.loads(r.doc), r.version) for r in states.collect()] == [({"n": n + 5, "last": n - 1}, n + 3)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

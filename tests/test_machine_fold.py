@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from quaymark.operators.machine_fold import Transitions, entities, replay
+from quaymark.operators.machine_fold import Transitions, composed, entities, replay
 
 SPEC = Transitions.parse("NEW", "NEW -open-> OPEN; OPEN -pay-> PAID; OPEN -open-> OPEN; PAID -ship-> SENT; OPEN -drop-> GONE; PAID -drop-> GONE")
 
@@ -43,3 +44,29 @@ def test_against_a_plain_fold(spark):
 
 def test_empty(spark):
     assert run(spark, [], 10).collect() == []
+
+
+def test_composed_against_a_walk():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 7, 300):
+        to, counts, first = rng.integers(0, 4, (n, 4)), rng.integers(0, 2, (n, 4)), rng.random(n) < 0.05
+        at, total = composed(to, counts, first)
+        for s in range(4):
+            state, seen = s, 0
+            for i in range(n):
+                if first[i] or i == 0:
+                    state, seen = s, 0
+                seen += counts[i, state]
+                state = to[i, state]
+                assert (at[i, s], total[i, s]) == (state, seen)
+
+
+def test_stretches_longer_than_a_batch(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "a", "a", "b"]), rng.choice(["open", "pay", "ship", "drop", "open"]), f"i{i:05}", i) for i in range(900)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        for width in (100, 10_000):
+            assert sorted((r.key, r.event_id, r.from_state, r.to_state, r.outcome, r.version) for r in run(spark, rows, width).collect()) == oracle(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

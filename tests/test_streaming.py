@@ -49,6 +49,25 @@ def test_upsert_applies_each_batch_once(spark, tmp_path):
     assert again.read().count() == 3
 
 
+def test_upsert_rewrites_only_touched_buckets(spark, tmp_path):
+    schema = "id string, version bigint, state string, at bigint"
+    t = VersionedTable(spark, f"file:{tmp_path}/t", schema, "id", "version", "at", buckets=8)
+    mk = lambda *r: spark.createDataFrame(list(r), schema)
+    t.upsert(mk(*[(f"k{i}", 1, "x", 1) for i in range(200)], (None, 1, "x", 1)), 0)
+    before = t._standing()["buckets"]
+    assert len(before) == 8
+    for b in range(1, 5):
+        t.upsert(mk(("k7", b + 1, f"s{b}", 1)), b)
+    after = t._standing()["buckets"]
+    assert sum(before[k] != after[k] for k in before) == 1
+    rows = {r.id: (r.version, r.state) for r in t.read().collect()}
+    assert len(rows) == 200 and rows["k7"] == (5, "s4") and rows["k8"] == (1, "x")
+    kept = [p for p in (tmp_path / "t" / "data").rglob("__bucket=*")]
+    assert len(kept) == 9 and len(t._standings()) == 2  # the eight that stand, and one before for readers
+    t.upsert(mk(), 9)
+    assert t._standing()["batch"] == 9 and t.read().count() == 200
+
+
 def test_windows(spark, tmp_path):
     src = tmp_path / "in"
     put(src, "a.json", [("1", "o", "x", "open", 1000, 1), ("2", "o", "x", "open", 61_000, 2), ("3", "p", "x", "open", 62_000, 3)])
