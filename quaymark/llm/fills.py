@@ -53,5 +53,17 @@ FROM a FULL JOIN b USING (event_id) WHERE least(coalesce(a.d, 9e18), coalesce(b.
 """
 
 
+#: The same matches with the fill's price and time, against the mid of the matched tick (of several rows of it the latest, then the highest).
+P2_OFF_MARKET_SQL = (
+    P2_SQL.replace("SELECT event_id, json_extract_string(payload, '$.ts') AS t,", "SELECT event_id, try_cast(json_extract_string(payload, '$.price') AS decimal(18,4)) AS price, json_extract_string(payload, '$.ts') AS t,")
+    .replace("f AS (SELECT event_id,", "f AS (SELECT event_id, price,").replace("SELECT f.event_id, k.symbol, k.seq, f.us - k.us AS d", "SELECT f.event_id, f.price, k.symbol, k.seq, f.us - k.us AS d").replace("SELECT f.event_id, k.symbol, k.seq, k.us - f.us AS d", "SELECT f.event_id, f.price, k.symbol, k.seq, k.us - f.us AS d")
+    .replace("b.seq ELSE a.seq END AS seq\nFROM", "b.seq ELSE a.seq END AS seq, CASE WHEN a.d IS NULL OR b.d < a.d THEN -b.d ELSE a.d END / 1000.0 AS apart_ms, coalesce(a.price, b.price) AS price\nFROM")
+)
+P2_OFF_MARKET_SQL = f"""
+WITH m AS ({P2_OFF_MARKET_SQL}), q AS (SELECT symbol, seq, arg_max(mid, struct_pack(a := ts_millis, b := mid)) AS mid FROM tick GROUP BY 1, 2)
+SELECT event_id, symbol, seq, CAST(apart_ms AS double) AS apart_ms, price, mid, round((CAST(price AS double) - CAST(mid AS double)) / CAST(mid AS double) * 10000, 3) AS off_bps FROM m JOIN q USING (symbol, seq)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL}
+    return {"p2_found": P2_SQL, "p2_off_market": P2_OFF_MARKET_SQL}
