@@ -3,8 +3,9 @@
 Each right-hand record owns the stretch of time in which it is the nearest: from the midpoint
 with the one before to the midpoint with the one after, but no farther than the tolerance. These
 stretches don't overlap, so a left-hand time falls into one at most. Stretches are indexed by
-cells of time whose width is the power of two next to the stretch's length: a stretch touches
-two cells, a left-hand time probes one cell per width. No task gets all of an entity: the
+cells of time whose width is the next of a few powers of two, APART bits from each other, that the
+stretch's length doesn't exceed: a stretch touches two cells, a left-hand time probes one cell per
+width. No task gets all of an entity: the
 neighbours are looked up in buckets of time, with the next buckets' borders beside them.
 """
 
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Narrowest cell, as a power of two of microseconds (2^17 us: about 131 ms).
 NARROWEST = 17
+#: Bits between one width and the next.
+APART = 2
 
 
 def stretches(right: DataFrame, tolerance_us: int) -> DataFrame:
@@ -52,12 +55,15 @@ def nearest_join(left: DataFrame, right: DataFrame, *, entity: Column, at: Colum
     widest = max(NARROWEST, (2 * tolerance_us + 1).bit_length())
     r = stretches(right.select(right_entity.alias("entity"), right_at.cast("bigint").alias("at"), seq.alias("seq")).where("entity is not null and at is not null"), tolerance_us)
     length = F.col("hi") - F.col("lo") + 1
+    levels = [*range(NARROWEST, widest, APART), widest]
     level = F.lit(widest)
-    for k in range(widest - 1, NARROWEST - 1, -1):
+    for k in reversed(levels[:-1]):
         level = F.when(length <= F.lit(1 << k), F.lit(k)).otherwise(level)
     cell = lambda c, k: F.expr(f"shiftright({c}, {k})")
     r = r.withColumn("level", level).withColumn("cell", F.explode(F.sequence(cell("lo", "level"), cell("hi", "level"))))
-    l = left.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), entity.alias("entity"), at.cast("bigint").alias("t")).where("entity is not null and t is not null")
-    l = l.withColumn("level", F.explode(F.array(*[F.lit(k) for k in range(NARROWEST, widest + 1)]))).withColumn("cell", cell("t", "level"))
+    # The left columns travel one by one, so that those nobody asks for don't.
+    own = {c: f"__left{i}" for i, c in enumerate(names)}
+    l = left.select(*[F.col(f"`{c}`").alias(a) for c, a in own.items()], entity.alias("entity"), at.cast("bigint").alias("t")).where("entity is not null and t is not null")
+    l = l.withColumn("level", F.explode(F.array(*[F.lit(k) for k in levels]))).withColumn("cell", cell("t", "level"))
     hit = l.join(r, ["entity", "level", "cell"]).where("t between lo and hi")
-    return hit.select(*[F.col("__row")[c].alias(c) for c in names], F.col("seq").alias("match_seq"), F.col("at").alias("match_at"), F.col("entity").alias("match_entity"))
+    return hit.select(*[F.col(a).alias(c) for c, a in own.items()], F.col("seq").alias("match_seq"), F.col("at").alias("match_at"), F.col("entity").alias("match_entity"))
