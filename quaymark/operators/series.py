@@ -97,16 +97,40 @@ def lifetimes(df: DataFrame, by: Sequence[str], us: Column, is_start: Column, is
     return j.select(*[F.col(f"x.`{c}`") for c in by], "started_us", F.coalesce("ended_us", "__carried").alias("ended_us"))
 
 
-def counter_rate(df: DataFrame, by: Sequence[str], sec: Column, value: Column, width: int = 3600) -> DataFrame:
-    """df with `rate` per second against the row before: null at the first and after a reset. The row before a block's first is the last of the block before."""
-    row = F.struct(sec.alias("s"), value.alias("v"))
-    d = df.withColumn("__b", _block(sec, width)).withColumn("__r", row)
+def previous(df: DataFrame, by: Sequence[str], at: Column, row: Column, width: int) -> DataFrame:
+    """df with __r, the row's own struct, and __p, that of the row before it in the order of these structs: within blocks of `width`, and for a block's first row the last of the key's block before."""
+    d = df.withColumn("__b", _block(at, width)).withColumn("__r", row)
     w = Window.partitionBy(*by, "__b").orderBy("__r")
     d = d.withColumn("__p", F.lag("__r").over(w))
     last = d.groupBy(*by, "__b").agg(F.max("__r").alias("__l"))
     prior = last.select(*by, "__b", F.lag("__l").over(Window.partitionBy(*by).orderBy("__b")).alias("__c"))
     same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in (*by, "__b")]
-    j = d.alias("x").join(prior.alias("y"), same).withColumn("__p", F.coalesce("__p", "__c"))
+    j = d.alias("x").join(prior.alias("y"), same)
+    return j.select(*[F.col(f"x.`{c}`") for c in df.columns], "__r", F.coalesce("__p", "__c").alias("__p"))
+
+
+def counter_rate(df: DataFrame, by: Sequence[str], sec: Column, value: Column, width: int = 3600) -> DataFrame:
+    """df with `rate` per second against the row before: null at the first and after a reset."""
+    j = previous(df, by, sec, F.struct(sec.alias("s"), value.alias("v")), width)
     r, p = F.col("__r"), F.col("__p")
     rate = F.when((r["v"] >= p["v"]) & (r["s"] > p["s"]), (r["v"] - p["v"]) / (r["s"] - p["s"]))
-    return j.select(*[F.col(f"x.`{c}`") for c in df.columns], rate.alias("rate"))
+    return j.select(*df.columns, rate.alias("rate"))
+
+
+def counter_base(df: DataFrame, by: Sequence[str], ms: Column, value: Column, window: int, kept: int, apart: int) -> DataFrame:
+    """df with `base` (ms, v): the sample of a counter that a rate is taken against.
+
+    That is the first in the window before the row, if it lies `apart` before it, else the oldest
+    kept one, else the one before. Samples before a reset (a smaller value than before) are
+    forgotten. Times of a key are distinct. Rows meet in blocks of `kept`, with the block before.
+    """
+    d = previous(df, by, ms, F.struct(ms.alias("ms"), value.alias("v")), kept)
+    d = running(d, by, F.col("__r.ms"), [], {"__seg": ("sum", F.when(F.col("__r.v") < F.col("__p.v"), 1).otherwise(0))}, width=kept)
+    block = _block(F.col("__r.ms"), kept)
+    halo = d.withColumn("__b", F.explode(F.array(block, block + 1)))
+    w = Window.partitionBy(*by, "__seg", "__b").orderBy("__r.ms")
+    near, old = (F.first("__r").over(w.rangeBetween(-n, 0)) for n in (window, kept))
+    before = F.when(~(F.col("__r.v") < F.col("__p.v")), F.col("__p"))
+    d = halo.withColumns({"__near": near, "__old": old}).where(F.col("__b") == block)
+    base = F.when(F.col("__r.ms") - F.col("__near.ms") >= apart, F.col("__near")).when(F.col("__old.ms") < F.col("__r.ms"), F.col("__old")).otherwise(before)
+    return d.select(*df.columns, base.alias("base"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quaymark.plans import core_problems, domain, model_queries, operations, star, streams
+from quaymark.plans import core_problems, domain, model_queries, operations, star, streams, surfaces
 
-MODULES = (star, domain, operations, model_queries, streams, core_problems)
+MODULES = (star, domain, operations, surfaces, model_queries, streams, core_problems)
 
 
 def queries() -> dict:

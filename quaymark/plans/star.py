@@ -201,12 +201,6 @@ def natural_join_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("c_custkey", "c_name", F.col("n_name").alias("nation"), F.col("r_name").alias("region"))
 
 
-@query("SELECT o_orderkey, o_orderstatus, l_linenumber, l_partkey, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND o_custkey % 7 = l_suppkey % 7")
-def child_with_root(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    return o.join(l, (o.o_orderkey == l.l_orderkey) & (o.o_custkey % 7 == l.l_suppkey % 7)).select("o_orderkey", "o_orderstatus", "l_linenumber", "l_partkey", "l_quantity")
-
-
 @query("SELECT count(DISTINCT o_orderkey) AS entities, count(l_orderkey) AS child_rows, round(count(l_orderkey) / count(DISTINCT o_orderkey), 4) AS per_entity FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey")
 def rows_per_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("c"))
