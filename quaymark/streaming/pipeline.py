@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import json
+import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quaymark.operators.latest import versioned_upsert
 from quaymark.operators.machine_fold import Transitions, streaming_fold
-from quaymark.session import Files
+from quaymark.store.buckets import BucketTable, VersionedTable
 
 ENVELOPE = "event_id string, sm_type string, instance_key string, event_type string, payload string, ingest_ts_millis bigint, seq bigint"
 
@@ -47,58 +46,73 @@ def folded(d: DataFrame, spec: Transitions, key: str, event: str, order: str) ->
     return d.groupBy(key).applyInPandasWithState(fold, out, held, "update", "NoTimeout")
 
 
-class VersionedTable:
-    """A table with an exactly-once upsert, for foreachBatch: a batch that was applied already does nothing.
+def live_history(quotes: DataFrame, folder: str, positions: DataFrame, symbol: str, mark: str, at: str, version: str):  # noqa: ANN201
+    """A foreachBatch function and its two tables: every batch of quotes re-marks the positions, and the total is appended to a history with the batch's time.
 
-    Keys are spread over buckets by their hash; a batch rewrites the buckets it touches and no
-    others. One small file per batch says where each bucket stands. It is written last, whole or
-    not at all, so a reader or a restart sees either all of a batch or nothing of it. All files go
-    through the file system that the folder names.
+    quotes: symbol, mark, at (time) and version; positions: symbol and quantity. Positions without a
+    quote so far aren't in the total. A batch that is run again leaves the history as it is.
     """
+    spark = positions.sparkSession
+    kinds = dict(quotes.dtypes)
+    latest = VersionedTable(spark, f"{folder}/quotes", ", ".join(f"`{c}` {kinds[c]}" for c in (symbol, mark, at, version)), symbol, version, at)
+    history = BucketTable(spark, f"{folder}/history", f"batch bigint, as_of {kinds[at]}, marked bigint, value double", "batch", 8)
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str, key: str, version: str, order: str, buckets: int = 64) -> None:
-        self.spark, self.folder, self.key, self.version, self.order, self.buckets = spark, folder.rstrip("/"), key, version, order, buckets
-        self.schema = T._parse_datatype_string(schema)
-        self.files = Files(spark, folder)
-
-    def _standings(self) -> list[str]:
-        return [n for n in self.files.names(f"{self.folder}/standing") if n.endswith(".json")]
-
-    def _standing(self) -> dict:
-        """{batch, buckets: {number: folder}} after the last batch."""
-        names = self._standings()
-        return json.loads(self.files.read(f"{self.folder}/standing/{names[-1]}")) if names else {"batch": -1, "buckets": {}}
-
-    def _rows(self, at: dict[str, str]) -> DataFrame:
-        if not at:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*[f"{self.folder}/{p}" for p in at.values()])
-
-    def read(self) -> DataFrame:
-        return self._rows(self._standing()["buckets"])
-
-    def upsert(self, batch: DataFrame, batch_id: int) -> None:
-        """The batch's highest version of each key, where it exceeds the stored one. Rows without key are left out."""
-        now = self._standing()
-        if batch_id <= now["batch"]:
-            return
-        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
-        batch = batch.where(F.col(self.key).isNotNull()).select(*self.schema.names)
-        touched = [str(r[0]) for r in batch.select(bucket).distinct().collect()]  # at most `buckets` numbers
-        new = versioned_upsert(self._rows({k: p for k, p in now["buckets"].items() if k in touched}), batch, self.key, self.version, F.col(self.order))
-        data = f"data/{batch_id:019d}"
-        new.select(*self.schema.names).withColumn("__bucket", bucket).repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{self.folder}/{data}")
-        now = {"batch": batch_id, "buckets": now["buckets"] | {k: f"{data}/__bucket={k}" for k in touched}}
-        if self.files.write_new(f"{self.folder}/standing/{batch_id:019d}.json", json.dumps(now)):
-            self._drop_old()
-
-    def _drop_old(self) -> None:
-        """Of what no standing but the last two names; readers may still hold the one before."""
-        names = self._standings()
-        if len(names) < 3:
-            return
-        text = [json.loads(self.files.read(f"{self.folder}/standing/{n}"))["buckets"] for n in names[-3:]]
-        for p in set(text[0].values()) - set(text[1].values()) - set(text[2].values()):
-            self.files.delete(f"{self.folder}/{p}")
-        for n in names[:-2]:
-            self.files.delete(f"{self.folder}/standing/{n}")
+    def step(batch: DataFrame, batch_id: int) -> None:
+        latest.upsert(batch.select(symbol, mark, at, version), batch_id)
+        now = positions.join(latest.read(), symbol).agg(F.lit(batch_id).cast("bigint").alias("batch"), F.max(at).alias("as_of"), F.count(F.lit(1)).alias("marked"), F.sum(F.col("quantity") * F.col(mark)).cast("double").alias("value"))
+        history.append(now, batch_id)
+
+    return step, latest, history
+
+
+def dead_letter(error: Column, target: str, attempts: Column | int, original: Column) -> Column:
+    """What is known of a record that couldn't be stored: error on one line of at most 2000 signs, target, attempts, the record itself."""
+    line = F.substring(F.regexp_replace(error, r"\s+", " "), 1, 2000)
+    return F.struct(line.alias("error"), F.lit(target).alias("target"), (attempts if isinstance(attempts, Column) else F.lit(attempts)).cast("int").alias("attempts"), original.cast("string").alias("original"))
+
+
+def deliver(batch: DataFrame, key: str, write: Callable[[DataFrame], None], set_aside: Callable[[DataFrame], None], target: str, max_attempts: int = 3, buckets: int = 16) -> None:
+    """Write a batch; if it is refused max_attempts times, parts of it, until the rows that can't be written are found and set aside; only then the rest counts as written.
+
+    Parts are cut by the hash of the key, `buckets` ways in each round, so a single bad key among n
+    is found in about log(n) rounds. Rows of one key go together. Parts are written one after the
+    other: `write` must not mind rows it has had before.
+    """
+    open_, depth = [F.lit(True)], 0
+    while open_:
+        refused: list[tuple[Column, str]] = []
+        for part in open_:
+            rows, error = batch.where(part), None
+            for _ in range(max_attempts):
+                try:
+                    write(rows)
+                    error = None
+                    break
+                except Exception as x:  # noqa: BLE001 (whatever a sink raises is its refusal)
+                    error = f"{type(x).__name__}: {x}"
+            if error is not None:
+                refused.append((part, error))
+        open_, depth = [], depth + 1
+        for part, error in refused:
+            if batch.where(part).select(key).distinct().limit(2).count() < 2 or depth > 12:
+                rows = batch.where(part)
+                set_aside(rows.select(dead_letter(F.lit(error), target, max_attempts, F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))).alias("d")).select("d.*"))
+            else:
+                place = F.pmod(F.xxhash64(F.lit(depth), F.col(key)), F.lit(buckets))
+                open_ += [part & (place == i) for i in range(buckets)]
+
+
+#: Topics that carry entity snapshots.
+SNAPSHOT_TOPICS = r"entity-snapshots|snapshots\..+"
+
+
+def snapshot_topics(names: list[str], default: str = "entity-snapshots") -> list[str]:
+    """Of the topics there are, those with snapshots, in order; the default if there is none."""
+    return sorted(n for n in names if re.fullmatch(SNAPSHOT_TOPICS, n)) or [default]
+
+
+def kafka_options(servers: str, pattern: str = SNAPSHOT_TOPICS, initial: str = "earliest") -> dict[str, str]:
+    """Options of Spark's Kafka source for the snapshot topics: new topics are found by the pattern, a position that is no longer there falls back to the oldest one kept."""
+    if initial not in ("earliest", "latest"):
+        raise ValueError("initial is earliest or latest")
+    return {"kafka.bootstrap.servers": servers, "subscribePattern": pattern, "startingOffsets": initial, "failOnDataLoss": "false", "kafka.isolation.level": "read_committed"}

@@ -3,7 +3,8 @@ import json
 from pyspark.sql import functions as F
 
 from quaymark.operators.machine_fold import Transitions
-from quaymark.streaming.pipeline import VersionedTable, deduplicated, envelopes, folded, per_window, split_bad
+from quaymark.store.buckets import VersionedTable
+from quaymark.streaming.pipeline import deduplicated, deliver, envelopes, folded, kafka_options, live_history, per_window, snapshot_topics, split_bad
 
 SPEC = Transitions.parse("NEW", "NEW -open-> OPEN; OPEN -pay-> PAID")
 
@@ -54,18 +55,18 @@ def test_upsert_rewrites_only_touched_buckets(spark, tmp_path):
     t = VersionedTable(spark, f"file:{tmp_path}/t", schema, "id", "version", "at", buckets=8)
     mk = lambda *r: spark.createDataFrame(list(r), schema)
     t.upsert(mk(*[(f"k{i}", 1, "x", 1) for i in range(200)], (None, 1, "x", 1)), 0)
-    before = t._standing()["buckets"]
+    before = t.standing()["buckets"]
     assert len(before) == 8
     for b in range(1, 5):
         t.upsert(mk(("k7", b + 1, f"s{b}", 1)), b)
-    after = t._standing()["buckets"]
-    assert sum(before[k] != after[k] for k in before) == 1
+    after = t.standing()["buckets"]
+    assert sum(before[k] != after[k] for k in before) == 1 and all(len(p) == 1 for p in after.values())
     rows = {r.id: (r.version, r.state) for r in t.read().collect()}
     assert len(rows) == 200 and rows["k7"] == (5, "s4") and rows["k8"] == (1, "x")
     kept = [p for p in (tmp_path / "t" / "data").rglob("__bucket=*")]
-    assert len(kept) == 9 and len(t._standings()) == 2  # the eight that stand, and one before for readers
+    assert len(kept) == 9 and len(t.standings()) == 2  # the eight that stand, and one before for readers
     t.upsert(mk(), 9)
-    assert t._standing()["batch"] == 9 and t.read().count() == 200
+    assert t.standing()["batch"] == 9 and t.read().count() == 200
 
 
 def test_windows(spark, tmp_path):
@@ -76,3 +77,47 @@ def test_windows(spark, tmp_path):
     q = per_window(d, "ts", "1 minute", ["sm_type"], "10 seconds").writeStream.outputMode("complete").option("checkpointLocation", str(tmp_path / "cp"))
     drain(q.foreachBatch(lambda b, _: seen.append(sorted((r.sm_type, r.n) for r in b.collect()))).trigger(availableNow=True).start())
     assert seen[-1] == [("o", 1), ("o", 1), ("p", 1)]
+
+
+def test_live_history(spark, tmp_path):
+    schema = "symbol string, mid double, at bigint, seq bigint"
+    quotes = lambda *r: spark.createDataFrame(list(r), schema)
+    positions = spark.createDataFrame([("A", 10), ("B", -5), ("C", 1)], "symbol string, quantity bigint")
+    step, latest, history = live_history(quotes(), str(tmp_path), positions, "symbol", "mid", "at", "seq")
+    step(quotes(("A", 2.0, 1, 1), ("A", 3.0, 2, 2), ("X", 9.0, 2, 1)), 0)
+    step(quotes(("A", 1.0, 1, 1), ("B", 4.0, 5, 1)), 1)  # an old quote of A comes late
+    step(quotes(("B", 7.0, 9, 9)), 1)  # the batch again
+    step(quotes(("C", 100.0, 7, 1)), 2)
+    assert sorted(map(tuple, history.read().collect())) == [(0, 2, 1, 30.0), (1, 5, 2, 10.0), (2, 7, 3, 110.0)]
+    src, seen = tmp_path / "in", []
+    src.mkdir()
+    quotes(("A", 5.0, 20, 20)).write.json(str(src / "q"))
+    s = spark.readStream.schema(schema).option("recursiveFileLookup", "true").json(str(src))
+    drain(s.writeStream.foreachBatch(lambda b, i: (step(b, i + 3), seen.append(i))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+    assert seen == [0] and history.read().where("batch = 3").first().value == 130.0
+
+
+def test_delivery_sets_bad_rows_aside(spark):
+    rows = spark.createDataFrame([(f"k{i}", i) for i in range(60)] + [("k7", 700)], "id string, n int")
+    stored, tries, aside = [], [], []
+
+    def write(d):
+        got = [r.id for r in d.collect()]
+        tries.append(len(got))
+        if {"k7", "k33"} & set(got):
+            raise ValueError("no\n  sevens " + "x" * 3000)
+        stored.extend(got)
+
+    deliver(rows, "id", write, lambda d: aside.extend(d.collect()), "here", max_attempts=2, buckets=8)
+    assert sorted(stored) == sorted(f"k{i}" for i in range(60) if i not in (7, 33)) and tries[:2] == [61, 61]
+    assert sorted(json.loads(r.original)["n"] for r in aside) == [7, 33, 700]
+    assert {(r.target, r.attempts, len(r.error), "\n" in r.error) for r in aside} == {("here", 2, 2000, False)}
+    stored.clear()
+    deliver(rows.where("id not in ('k7', 'k33')"), "id", write, lambda d: aside.append("none"), "here")
+    assert len(stored) == 58 and "none" not in aside
+
+
+def test_topics():
+    assert snapshot_topics(["orders", "snapshots.b", "entity-snapshots", "snapshots.a.c", "my-snapshots.x", "snapshots."]) == ["entity-snapshots", "snapshots.a.c", "snapshots.b"]
+    assert snapshot_topics(["other"]) == ["entity-snapshots"]
+    assert kafka_options("h:1")["failOnDataLoss"] == "false"
