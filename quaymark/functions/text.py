@@ -50,3 +50,8 @@ def causation_depth(event_id: Column) -> Column:
     """Dotted numeric steps below the root: `a.1.2` has depth 2."""
     tail = F.regexp_extract(event_id, r"((?:\.[0-9]+)*)$", 1)
     return F.length(tail) - F.length(F.replace(tail, F.lit("."), F.lit("")))
+
+
+def utf16_key(c: Column) -> Column:
+    """Sorts as texts do by their UTF-16 code units, which differs from code points where signs beyond the basic plane meet those at its end."""
+    return F.hex(F.encode(c, "UTF-16BE"))

@@ -105,6 +105,43 @@ def machines(resolved: Resolved) -> dict[str, Machine]:
     return out
 
 
+_FITS = {
+    "String": lambda v: isinstance(v, str), "Boolean": lambda v: isinstance(v, bool), "Integer": lambda v: isinstance(v, int) and not isinstance(v, bool),
+    **dict.fromkeys(("Float", "Decimal", "Number"), lambda v: (isinstance(v, (int, float)) and not isinstance(v, bool)) or (isinstance(v, str) and re.fullmatch(r"-?\d+(\.\d+)?([eE][+-]?\d+)?", v) is not None)),
+    **dict.fromkeys(("Date", "StrictDate", "DateTime"), lambda v: isinstance(v, str) and re.match(r"\d{4}-\d{2}-\d{2}", v) is not None),
+}
+
+
+def payload_errors(resolved: Resolved, path: str, payload: object, at: str = "") -> list[str]:
+    """What of a payload doesn't fit its class: values missing, too many, or of another type, each with its place. Members the class doesn't have don't matter."""
+    if not isinstance(payload, dict):
+        return [f"{at or 'payload'}: no object"]
+    out = []
+    for p, kind in resolved.properties(path):
+        here = f"{at}.{p.name}" if at else p.name
+        value, m = payload.get(p.name), p.multiplicity
+        many = m.many
+        if many and value is not None and not isinstance(value, list):
+            out.append(f"{here}: no list")
+            continue
+        values = (value or []) if many else [] if value is None else [value]
+        if len(values) < m.low and p.default is None:
+            out.append(f"{here}: missing")
+        if m.high is not None and len(values) > m.high:
+            out.append(f"{here}: more than {m.high}")
+        for i, v in enumerate(values):
+            place = f"{here}[{i}]" if many else here
+            if kind in _FITS:
+                if not _FITS[kind](v):
+                    out.append(f"{place}: no {kind}")
+            elif kind in resolved.model.enums:
+                if v not in resolved.model.enums[kind].values:
+                    out.append(f"{place}: no {kind}")
+            else:
+                out += payload_errors(resolved, kind, v, place)
+    return out
+
+
 #: Retries an event may declare at most. A fixed value.
 MAX_RETRIES = 20
 

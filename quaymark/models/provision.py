@@ -25,7 +25,27 @@ def create_table(t: TableSpec, using: str = "parquet") -> str:
 def child_view(root: TableSpec, child: TableSpec) -> str:
     """The rows of a child table with the state of their root, joined on entity and version."""
     own = ", ".join(f"c.`{c.name}`" for c in child.columns)
-    return f"CREATE OR REPLACE VIEW `{child.name}_with_{root.name}` AS SELECT {own}, r.`sm_state` FROM `{child.name}` c JOIN `{root.name}` r ON c.entity_id = r.entity_id AND c.entity_version = r.entity_version"
+    body = f"SELECT {own}, r.`sm_state` FROM `{child.name}` c JOIN `{root.name}` r ON c.entity_id = r.entity_id AND c.entity_version = r.entity_version"
+    return f"CREATE OR REPLACE VIEW `{_view_name(root, child)}` TBLPROPERTIES ('{DEFINITION}' = '{_digest(body)}') AS {body}"
+
+
+#: The property under which a view keeps the hash of its definition.
+DEFINITION = "definition.hash"
+
+
+def _view_name(root: TableSpec, child: TableSpec) -> str:
+    return f"{child.name}_with_{root.name}"
+
+
+def _digest(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()[:16]
+
+
+def _stands(spark: SparkSession, view: str, sql: str) -> bool:
+    """Whether the view is there with that definition."""
+    if not spark.catalog.tableExists(view):
+        return False
+    return any(r.key == DEFINITION and f"'{r.value}'" in sql for r in spark.sql(f"SHOW TBLPROPERTIES `{view}`").collect())
 
 
 @dataclass(frozen=True)
@@ -39,7 +59,7 @@ class TypeChanged(ValueError):
 
 
 def plan(spark: SparkSession, spec: SchemaSpec) -> list[Step]:
-    """What is missing: tables, columns, then views. Running the steps and planning again leaves views only. A column of another type is an error."""
+    """What is missing: tables, columns, then views whose definition is another. Running the steps and planning again leaves nothing. A column of another type is an error."""
     steps = []
     for t in spec.tables:
         if not spark.catalog.tableExists(t.name):
@@ -52,7 +72,8 @@ def plan(spark: SparkSession, spec: SchemaSpec) -> list[Step]:
         new = [f"`{c.name}` {SPARK[c.type]}" for c in t.columns if c.name not in have]
         if new:
             steps.append(Step(t.name, f"ALTER TABLE `{t.name}` ADD COLUMNS ({', '.join(new)})"))
-    steps += [Step(c.name, child_view(t, c)) for t in spec.tables if t.parent is None for c in spec.children(t)]
+    views = [(_view_name(t, c), Step(c.name, child_view(t, c))) for t in spec.tables if t.parent is None for c in spec.children(t)]
+    steps += [step for name, step in views if not _stands(spark, name, step.sql)]
     return steps
 
 

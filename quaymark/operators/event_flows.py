@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import islice
 
@@ -47,6 +47,7 @@ class Handler:
     locks: tuple[str, ...] = ()
     retries: int = 0
     on_error: str = "park"  # or block
+    check: Callable[[dict], Sequence[str]] | None = None  # what of a payload doesn't fit; anything rejects it
 
 
 @dataclass
@@ -127,6 +128,8 @@ class _Component:
             payload, status, error = {}, "REJECTED", str(x)
         if status == "DONE" and h is None:
             status, error = "REJECTED", f"no handler for {e.event_type}"
+        elif status == "DONE" and h.check is not None and (wrong := list(h.check(payload))):
+            status, error = "REJECTED", "; ".join(wrong)
         keys = tuple(e.keys)
         if status == "DONE" and self.held & set(keys):
             yield "waiting", e.event_id, ""

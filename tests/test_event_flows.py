@@ -115,3 +115,9 @@ def test_a_busy_key_streams_in_order(spark):
         assert [(json.loads(r.doc), r.version) for r in states.collect()] == [({"n": n + 5, "last": n - 1}, n + 3)]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_payloads_are_checked_before_the_handler(spark):
+    h = {"Pay": Handler(pay, "orders", ("order:{id}",), check=lambda p: [] if "sum" in p else ["sum: missing"])}
+    out, states, _ = run_flows(spark.createDataFrame([ev("a", "Pay", {"id": "1"}, 1), ev("b", "Pay", {"id": "1", "sum": 2}, 2)], EVENTS), spark.createDataFrame([], STATES), h, 0)
+    assert {r.event_id: (r.status, r.error) for r in out.collect()} == {"a": ("REJECTED", "sum: missing"), "b": ("DONE", None)} and states.count() == 1
