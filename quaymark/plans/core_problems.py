@@ -137,6 +137,28 @@ UNION ALL SELECT id, 'data' FROM d
 UNION ALL SELECT a.id, 'snapshot_version' FROM a JOIN v ON a.id = v.id WHERE a.version <> v.version
 """
 
+_SAME = "CASE WHEN json_type({v}) IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'DOUBLE') THEN CAST(CAST({v} AS double) AS varchar) WHEN json_type({v}) = 'NULL' THEN NULL ELSE {v} ->> '$' END"
+_AT = "CASE WHEN len({c}.lp) = 0 THEN " + _SAME.format(v="json_extract({m}, {c}.path)") + " ELSE nullif(CAST(list_transform({l}, lambda x: coalesce(" + _SAME.format(v="json_extract(x, {c}.path)") + ", '')) AS varchar), CAST(list_transform({l}, lambda x: '') AS varchar)) END"
+_AT = _AT.replace("{l}", "(CASE WHEN json_type(json_extract({m}, {c}.lp)) = 'ARRAY' THEN CAST(json_extract({m}, {c}.lp) AS JSON[]) ELSE [json_extract({m}, {c}.lp)] END)")
+
+P3_SQL = f"""
+WITH s AS (SELECT trim(table_name) AS t, release_no AS r, schema_hash AS h, CASE WHEN len(source_path) = 0 THEN '' ELSE '$.' || array_to_string(source_path, '.') END AS lp, columns AS cs FROM table_spec
+  QUALIFY row_number() OVER (PARTITION BY trim(table_name), release_no ORDER BY published_at DESC) = 1),
+o AS (SELECT *, lag(r) OVER (PARTITION BY t ORDER BY r) AS r0 FROM s),
+c AS (SELECT t, r, h, lp, x.name AS name, upper(x.type) AS type, upper(x.source) = 'MODEL' AS own, '$.' || array_to_string(x.path, '.') AS path FROM (SELECT t, r, h, lp, unnest(cs) AS x FROM s)),
+gone AS (SELECT o.r AS upto, a.* FROM o JOIN c a ON a.t = o.t AND a.r = o.r0 WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.t = o.t AND b.r = o.r AND b.name = a.name)),
+come AS (SELECT b.* FROM o JOIN c b ON b.t = o.t AND b.r = o.r WHERE o.r0 IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c a WHERE a.t = o.t AND a.r = o.r0 AND a.name = b.name)),
+m AS (SELECT trim(entity_id) AS e, schema_hash AS h, model_json AS j FROM entity_snapshot WHERE entity_id IS NOT NULL AND json_valid(model_json) AND json_type(CASE WHEN json_valid(model_json) THEN model_json END) = 'OBJECT'
+  QUALIFY row_number() OVER (PARTITION BY trim(entity_id), schema_hash ORDER BY coalesce(version, 0) DESC) = 1),
+v AS (SELECT g.t, g.upto AS r, g.name AS g, k.name AS k, {_AT.replace("{m}", "x.j").replace("{c}", "g")} AS a, {_AT.replace("{m}", "y.j").replace("{c}", "k")} AS b
+  FROM gone g JOIN come k ON g.t = k.t AND g.upto = k.r AND g.own AND k.own JOIN m x ON x.h = g.h JOIN m y ON y.h = k.h AND y.e = x.e),
+n AS (SELECT t, r, g, k FROM v WHERE a IS NOT NULL OR b IS NOT NULL GROUP BY 1, 2, 3, 4 HAVING bool_and(coalesce(a = b, false)))
+SELECT t AS table_name, r AS release_no, 'renamed' AS change, g AS column_name, k AS new_name FROM n
+UNION ALL SELECT t, upto, 'removed', name, '' FROM gone WHERE (t, upto, name) NOT IN (SELECT t, r, g FROM n)
+UNION ALL SELECT t, r, 'added', name, '' FROM come WHERE (t, r, name) NOT IN (SELECT t, r, k FROM n)
+UNION ALL SELECT o.t, o.r, 'retyped', a.name, '' FROM o JOIN c a ON a.t = o.t AND a.r = o.r0 JOIN c b ON b.t = o.t AND b.r = o.r AND b.name = a.name WHERE a.type <> b.type
+"""
+
 P4_SQL = f"""
 WITH e AS (SELECT lower(trim(event_id, {_PAD})) AS id, delivery_id, ingest_ts_millis AS ms FROM event_envelope),
 p AS (SELECT lower(trim(event_id, {_PAD})) AS id, epoch_us(received_at) AS us FROM processed_event)
@@ -170,4 +192,4 @@ P7_STATE_SQL = _P7 + "SELECT entity_id, coalesce(l.version, b.version) AS versio
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p4_found": P4_SQL, "p4_deliveries": P4_DELIVERIES_SQL, "p4_undispatched": P4_UNDISPATCHED_SQL, "p7_found": P7_SQL, "p7_state": P7_STATE_SQL}
+    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p4_deliveries": P4_DELIVERIES_SQL, "p4_undispatched": P4_UNDISPATCHED_SQL, "p7_found": P7_SQL, "p7_state": P7_STATE_SQL}
