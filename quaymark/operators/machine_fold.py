@@ -161,13 +161,17 @@ def entities(told: DataFrame) -> DataFrame:
     return good.groupBy("key").agg(F.max_by(F.struct("to_state", "event_id"), "version").alias("m"), F.max("version").alias("version")).select("key", F.col("m.to_state").alias("state"), "version", F.col("m.event_id").alias("last_event_id"))
 
 
-def streaming_fold(spec: Transitions, event: str, order: str):  # noqa: ANN201
-    """The same machine for `groupBy(key).applyInPandasWithState`: (function, output schema, state schema). A micro-batch's events of a key are taken in its order."""
-    out = T.StructType([T.StructField("key", T.StringType()), T.StructField("state", T.StringType()), T.StructField("version", T.LongType()), T.StructField("rejected", T.LongType())])
+def streaming_fold(spec: Transitions, event: str, order: str, idle_ms: int | None = None):  # noqa: ANN201
+    """The same machine for `groupBy(key).applyInPandasWithState`: (function, output schema, state schema). A micro-batch's events of a key are taken in its order; idle_ms without any ends the key's state."""
     held = T.StructType([T.StructField("state", T.StringType()), T.StructField("version", T.LongType()), T.StructField("rejected", T.LongType())])
+    out = T.StructType([T.StructField("key", T.StringType()), *held.fields, T.StructField("expired", T.BooleanType())])
 
     def fold(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
         s, v, bad = state.get if state.exists else (spec.initial, 0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"key": [k[0]], "state": [s], "version": [v], "rejected": [bad], "expired": [True]})
+            return
         rows = pd.concat(list(frames))
         for e in rows.sort_values(order, kind="stable")[event]:
             t = spec.edges.get((s, e))
@@ -176,8 +180,8 @@ def streaming_fold(spec: Transitions, event: str, order: str):  # noqa: ANN201
             else:
                 s, v = t, v + 1
         state.update((s, v, bad))
-        yield pd.DataFrame({"key": [k[0]], "state": [s], "version": [v], "rejected": [bad]})
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame({"key": [k[0]], "state": [s], "version": [v], "rejected": [bad], "expired": [False]})
 
     return fold, out, held
-
-

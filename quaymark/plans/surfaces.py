@@ -362,3 +362,25 @@ def readers_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tail_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last hundred events."""
     return table(spark, sf_dir, "events").select("event_id", "user_id", "ts").orderBy(F.desc("ts"), F.desc("event_id")).limit(100)
+
+
+#: Ticks that a ring holds.
+RING = 5000
+
+
+@query(f"SELECT symbol, count(*) AS ticks, round(avg(CAST(ask - bid AS double)), 6) AS mean_spread, min(ts_millis) AS since FROM (SELECT * FROM {_TICKS} ORDER BY ts_millis DESC, symbol, seq DESC LIMIT {RING}) GROUP BY 1")
+def ring_spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures over the newest ticks only, as a ring of that size would hold them."""
+    ring = ticks(spark, sf_dir).select("symbol", "seq", "ts_millis", "bid", "ask").orderBy(F.desc("ts_millis"), "symbol", F.desc("seq")).limit(RING)
+    return ring.groupBy("symbol").agg(F.count(F.lit(1)).alias("ticks"), F.round(F.avg((F.col("ask") - F.col("bid")).cast("double")), 6).alias("mean_spread"), F.min("ts_millis").alias("since"))
+
+
+@query("""SELECT sm_type, count(*) AS deliveries, count(*) FILTER (keys = 1) AS single_key, count(*) FILTER (direct AND keys = 1) AS direct FROM (
+  SELECT sm_type, direct, len(list_distinct(CASE WHEN style = 'event' THEN CASE WHEN len(lock_keys) = 0 THEN [sm_type || ':' || event_id] ELSE lock_keys END ELSE list_append(lock_keys, sm_type || ':' || instance_key) END)) AS keys FROM event_envelope) GROUP BY 1""")
+def direct_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per type: deliveries that hold a single key, and those of them that may go past the locks."""
+    own = F.concat_ws(":", "sm_type", "instance_key")
+    alone = F.array(F.concat_ws(":", "sm_type", "event_id"))
+    k = F.size(F.array_distinct(F.when(F.col("style") == "event", F.when(F.size("lock_keys") == 0, alone).otherwise(F.col("lock_keys"))).otherwise(F.array_append("lock_keys", own))))
+    one = k == 1
+    return table(spark, sf_dir, "event_envelope").groupBy("sm_type").agg(F.count(F.lit(1)).alias("deliveries"), F.count_if(one).alias("single_key"), F.count_if(F.col("direct") & one).alias("direct"))

@@ -40,10 +40,24 @@ def per_window(d: DataFrame, ts: str, width: str, by: list[str], delay: str) ->
     return d.withWatermark(ts, delay).groupBy(F.window(ts, width).alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), *by, "n")
 
 
-def folded(d: DataFrame, spec: Transitions, key: str, event: str, order: str) -> DataFrame:
-    """The state of each key after every micro-batch (update mode)."""
-    fold, out, held = streaming_fold(spec, event, order)
-    return d.groupBy(key).applyInPandasWithState(fold, out, held, "update", "NoTimeout")
+def bars(d: DataFrame, symbol: str, ts: str, order: Column, price: str, size: str, width: str, delay: str) -> DataFrame:
+    """Open, high, low, close, volume, vwap and count per window and key. Ticks later than the delay join no bar (in batch, every tick joins its bar)."""
+    o, p, n = F.struct(F.col(ts), order), F.col(price), F.col(size)
+    g = d.withWatermark(ts, delay).groupBy(F.window(ts, width).alias("w"), symbol)
+    b = g.agg(F.min_by(p, o).alias("open"), F.max(p).alias("high"), F.min(p).alias("low"), F.max_by(p, o).alias("close"), F.sum(n).alias("volume"), (F.sum(p * n) / F.nullif(F.sum(n), F.lit(0))).alias("vwap"), F.count(F.lit(1)).alias("n"))
+    return b.select(F.col("w.start").alias("bar_start"), symbol, "open", "high", "low", "close", "volume", "vwap", "n")
+
+
+def time_table(spark: SparkSession, start_ms: int, end_ms: int, every_ms: int) -> DataFrame:
+    """A row (ts) at each multiple of every_ms from start_ms up to end_ms."""
+    n = F.col("id") * every_ms
+    return spark.range(-(-start_ms // every_ms), -(-end_ms // every_ms)).select(F.timestamp_millis(n).alias("ts"))
+
+
+def folded(d: DataFrame, spec: Transitions, key: str, event: str, order: str, idle_ms: int | None = None) -> DataFrame:
+    """The state of each key after every micro-batch (update mode). A key without events for idle_ms is forgotten, with a last row (expired); its next event begins anew. Then the query runs batches without data as well, so it needs a trigger other than availableNow."""
+    fold, out, held = streaming_fold(spec, event, order, idle_ms)
+    return d.groupBy(key).applyInPandasWithState(fold, out, held, "update", "NoTimeout" if idle_ms is None else "ProcessingTimeTimeout")
 
 
 def live_history(quotes: DataFrame, folder: str, positions: DataFrame, symbol: str, mark: str, at: str, version: str):  # noqa: ANN201

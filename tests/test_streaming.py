@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quaymark.operators.machine_fold import Transitions
 from quaymark.store.buckets import VersionedTable
-from quaymark.streaming.pipeline import deduplicated, deliver, envelopes, folded, kafka_options, live_history, per_window, snapshot_topics, split_bad
+from quaymark.streaming.pipeline import bars, deduplicated, deliver, envelopes, folded, kafka_options, live_history, per_window, snapshot_topics, split_bad, time_table
 
 SPEC = Transitions.parse("NEW", "NEW -open-> OPEN; OPEN -pay-> PAID")
 
@@ -16,8 +16,11 @@ def put(folder, name, rows):
 
 
 def drain(q):
-    q.awaitTermination(180)
-    assert q.exception() is None
+    try:
+        assert q.awaitTermination(60), "the query doesn't end"
+        assert q.exception() is None
+    finally:
+        q.stop()
 
 
 def test_dedupe_fold_and_restart(spark, tmp_path):
@@ -121,3 +124,35 @@ def test_topics():
     assert snapshot_topics(["orders", "snapshots.b", "entity-snapshots", "snapshots.a.c", "my-snapshots.x", "snapshots."]) == ["entity-snapshots", "snapshots.a.c", "snapshots.b"]
     assert snapshot_topics(["other"]) == ["entity-snapshots"]
     assert kafka_options("h:1")["failOnDataLoss"] == "false"
+
+
+def test_bars_of_a_stream(spark, tmp_path):
+    rows = [("A", 1000, 1, 5.0, 10), ("A", 1000, 2, 6.0, 10), ("A", 59_000, 3, 4.0, 20), ("A", 61_000, 4, 9.0, 1), ("B", 2000, 1, 7.0, 0)]
+    schema = "symbol string, ms bigint, seq bigint, price double, size bigint"
+    spark.createDataFrame(rows, schema).write.json(str(tmp_path / "in"))
+    s = spark.readStream.schema(schema).json(str(tmp_path / "in")).withColumn("ts", F.timestamp_millis("ms"))
+    seen = []
+    q = bars(s, "symbol", "ts", F.col("seq"), "price", "size", "1 minute", "10 seconds").writeStream.outputMode("complete").option("checkpointLocation", str(tmp_path / "cp"))
+    drain(q.foreachBatch(lambda b, _: seen.append(sorted(tuple(r)[1:] for r in b.collect()))).trigger(availableNow=True).start())
+    assert seen[-1] == [("A", 5.0, 6.0, 4.0, 4.0, 40, 4.75, 3), ("A", 9.0, 9.0, 9.0, 9.0, 1, 9.0, 1), ("B", 7.0, 7.0, 7.0, 7.0, 0, None, 1)]
+
+
+def test_idle_keys_expire(spark, tmp_path):
+    src, cp, got = tmp_path / "in", str(tmp_path / "cp"), []
+
+    def go():
+        good, _ = split_bad(envelopes(spark, str(src)))
+        q = folded(good, SPEC, "instance_key", "event_type", "seq", idle_ms=1).writeStream.outputMode("update").option("checkpointLocation", cp)
+        drain(q.foreachBatch(lambda d, _: got.extend((r.key, r.state, r.expired) for r in d.collect())).trigger(once=True).start())
+
+    put(src, "a.json", [("1", "o", "x", "open", 1000, 1)])
+    go()
+    put(src, "b.json", [("2", "o", "y", "open", 1000, 2)])
+    go()
+    put(src, "c.json", [("3", "o", "x", "pay", 1000, 3)])
+    go()
+    assert ("x", "OPEN", False) in got and ("x", "OPEN", True) in got and ("x", "NEW", False) in got  # x began anew, where paying is no step
+
+
+def test_time_table(spark):
+    assert [r.ms for r in time_table(spark, 1500, 4000, 1000).selectExpr("unix_millis(ts) as ms").orderBy("ms").collect()] == [2000, 3000]
