@@ -45,13 +45,13 @@ def _at(df: DataFrame, by: Sequence[str], value: Column, ps: Sequence[float], ru
     d = near.select(*[F.col(f"a.{k}").alias(k) for k in by], "v", "c", "of", place)
     sums = d.groupBy(*by, "s").agg(F.sum("c").alias("t"), F.first("of").alias("of"))
     before = sums.withColumn("before", F.sum("t").over(Window.partitionBy(*by).orderBy("s")) - F.col("t"))  # a row per stretch
-    want = before.select("*", F.inline(asked(F.col("of.n")))).where("r >= before and r < before + t").select(*by, "s", "of", "p", "rule", "r", "before")
-    w = Window.partitionBy(*by, "s").orderBy("v")
-    inside = d.drop("of").alias("d").join(want.select(*by, "s").distinct().alias("q"), [*same("d", "q"), F.col("d.s") == F.col("q.s")], "left_semi")
-    inside = inside.withColumn("upto", F.sum("c").over(w))
-    out = want.alias("w").join(inside.alias("i"), [*same("w", "i"), F.col("w.s") == F.col("i.s")])
-    hit = (F.col("w.r") >= F.col("w.before") + F.col("i.upto") - F.col("i.c")) & (F.col("w.r") < F.col("w.before") + F.col("i.upto"))
-    return out.where(hit).select(*[F.col(f"w.{k}").alias(k) for k in by], "w.of.*", F.col("w.p").alias("p"), F.col("w.rule").alias("rule"), F.col("i.v").alias("value"))
+    # The stretches that hold a rank asked for, a row each, with what is asked of them.
+    hits = F.filter(asked(F.col("of.n")), lambda q: (q["r"] >= F.col("before")) & (q["r"] < F.col("before") + F.col("t")))
+    want = before.select(*by, "s", "of", "before", hits.alias("asked")).where("size(asked) > 0")
+    inside = d.drop("of").alias("d").join(want.alias("w"), [*same("d", "w"), F.col("d.s") == F.col("w.s")]).select(*[F.col(f"d.{k}").alias(k) for k in by], "d.s", "v", "c", "w.of", "w.before", "w.asked")
+    upto = inside.withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy(*by, "s").orderBy("v")))
+    out = upto.select(*by, "of.*", F.inline(F.filter("asked", lambda q: (q["r"] < F.col("upto")) & (q["r"] >= F.col("upto") - F.col("c")))), "v")
+    return out.select(*by, "n", "mean", "largest", "p", "rule", F.col("v").alias("value"))
 
 
 def interpolated(df: DataFrame, by: Sequence[str], value: Column, ps: Sequence[float]) -> DataFrame:
