@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaymark.llm.boilerplate import openers
 from quaymark.llm.subtitles import Word, folded, piece, repaired, skeleton, spelled, spoken
 from quaymark.llm.wumanber import Patterns, padded
 from quaymark.session import materialize
@@ -29,8 +30,8 @@ from quaymark.sources.tables import table
 SHARE = 0.6
 #: Words of items in a block, and blocks searched for side by side in one pass over the files.
 BLOCK_WORDS, SIDE_BY_SIDE = 1_000_000, 2
-#: Likeness of letters that passes where damage isn't of a known kind.
-ALIKE = 0.9
+#: Likeness of letters that passes where damage isn't of a known kind: of a window, and of the words at its ends that have no steady consonants.
+ALIKE, ALIKE_END = 0.9, 0.6
 #: Parts that a word falls apart in, or words that run together, at most.
 PARTS = 3
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
@@ -118,8 +119,11 @@ class Items:
             return False  # it begins or ends amid a word
         if self._walk(mine[lead:], words, first, 1) and self._walk(mine[:lead], words, first - 1, -1):
             return True
-        theirs = "".join(w[0] for w in words[max(first - lead, 0) : last + 1 + trail])
-        return SequenceMatcher(None, "".join(mine), theirs, autojunk=False).ratio() >= ALIKE
+        # Otherwise by the letters altogether; words at the ends that have no part in the search must be alike by themselves.
+        theirs = [w[0] for w in words[max(first - lead, 0) : last + 1 + trail]]
+        near = lambda a, b: SequenceMatcher(None, "".join(a), "".join(b), autojunk=False).ratio()
+        ends = [(mine[:lead], theirs[:lead]), (mine[need - trail :], theirs[len(theirs) - trail :])]
+        return near(mine, theirs) >= ALIKE and all(near(a, b) >= ALIKE_END for a, b in ends if a)
 
     def search(self, docs: list[list[Word]]) -> list[tuple[int, int]]:
         """(number of the document, item id) of all that leaked, each once."""
@@ -147,15 +151,15 @@ class Items:
         return [(d, self.ids[i]) for d, i in sorted(found)]
 
 
-def leaks(documents: DataFrame, items: DataFrame, *, doc_id: Column, text: Column, item_id: Column, item_text: Column, share: float = SHARE, block_words: int = BLOCK_WORDS, side_by_side: int = SIDE_BY_SIDE) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, *, doc_id: Column, text: Column, item_id: Column, item_text: Column, share: float = SHARE, block_words: int = BLOCK_WORDS, side_by_side: int = SIDE_BY_SIDE, adverts: frozenset[str] = frozenset()) -> DataFrame:
     """(doc_id, item_id): the document's spoken text holds one unbroken run of at least `share` of the item's words.
 
     The items are the stated query set. They come through the driver one block of block_words words
     at a time and go to the documents in blocks, side_by_side of them in each pass, so that what a
     task holds of them is bounded; with more blocks than that, the cleaned words are written once
     and read by each pass. Null or empty texts and items without words match nothing; documents
-    that repeat an id are searched each and give one row; equal items are each reported. No other
-    columns are read.
+    that repeat an id are searched each and give one row; equal items are each reported. adverts:
+    openers of lines that aren't speech, besides those that are known. No other columns are read.
     """
     spark = documents.sparkSession
     blocks, block, held = [], [], 0
@@ -172,7 +176,7 @@ def leaks(documents: DataFrame, items: DataFrame, *, doc_id: Column, text: Colum
     cleaned = documents.select(doc_id.cast("bigint").alias("doc_id"), text.alias("text")).where("doc_id is not null and text is not null")
     raw = len(passes) == 1
     if not raw:
-        cleaned = materialize(cleaned.mapInArrow(_spoken_rows, "doc_id bigint, words array<string>"), "spoken")
+        cleaned = materialize(cleaned.mapInArrow(_spoken_rows(adverts), "doc_id bigint, words array<string>"), "spoken")
     out = None
     for sent in passes:
 
@@ -183,7 +187,7 @@ def leaks(documents: DataFrame, items: DataFrame, *, doc_id: Column, text: Colum
                     continue
                 known = known or [Items(s.value, share) for s in sent]
                 texts = b.column(1).to_pylist()
-                docs = [spoken(t) for t in texts] if raw else [[(w, bones, piece(bones)) for w, bones in ((w, skeleton(w)) for w in ws)] for ws in texts]
+                docs = [spoken(t, adverts) for t in texts] if raw else [[(w, bones, piece(bones)) for w, bones in ((w, skeleton(w)) for w in ws)] for ws in texts]
                 hits = [h for one in known for h in one.search(docs)]
                 ids = b.column(0).to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d, _ in hits], pa.int64()), pa.array([i for _, i in hits], pa.int64())], ["doc_id", "item_id"])
@@ -193,14 +197,18 @@ def leaks(documents: DataFrame, items: DataFrame, *, doc_id: Column, text: Colum
     return out.distinct()
 
 
-def _spoken_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        words = [[w[0] for w in spoken(t)] for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.string()))], ["doc_id", "words"])
+def _spoken_rows(adverts: frozenset[str]):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [[w[0] for w in spoken(t, adverts)] for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.string()))], ["doc_id", "words"])
+
+    return run
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"), doc_id=F.col("doc_id"), text=F.col("text"), item_id=F.col("item_id"), item_text=F.col("text"))
+    docs = table(spark, sf_dir, "documents")
+    return leaks(docs, table(spark, sf_dir, "eval_item"), doc_id=F.col("doc_id"), text=F.col("text"), item_id=F.col("item_id"), item_text=F.col("text"), adverts=openers(docs, F.col("text"), F.col("title_id")))
 
 
 def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:

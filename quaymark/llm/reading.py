@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaymark.llm.boilerplate import openers
 from quaymark.llm.subtitles import spoken
 from quaymark.session import materialize
 from quaymark.sources.tables import table
@@ -71,13 +72,13 @@ class _Codes(dict):
 _CODES = _Codes()
 
 
-def coded_words(documents: DataFrame, doc_id: Column, text: Column) -> DataFrame:
+def coded_words(documents: DataFrame, doc_id: Column, text: Column, adverts: frozenset[str] = frozenset()) -> DataFrame:
     """(doc_id, words): the spoken words as numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             code = _CODES.__getitem__
-            words = [[code(w[0]) for w in spoken(t)] for t in b.column(1).to_pylist()]
+            words = [[code(w[0]) for w in spoken(t, adverts)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.int32()))], ["doc_id", "words"])
 
     return documents.select(doc_id.cast("bigint").alias("doc_id"), text.alias("text")).where("doc_id is not null").mapInArrow(run, "doc_id bigint, words array<int>")
@@ -204,17 +205,18 @@ def _tally(sums: _Sums, codes: np.ndarray, p: np.ndarray) -> None:
     letters += np.bincount(slot, (size + 1.0) * p.sum(0), SLOTS)
 
 
-def reading_levels(documents: DataFrame, labels: DataFrame, *, doc_id: Column, text: Column, label_id: Column, level: Column, passes: int = PASSES, min_words: int = MIN_WORDS) -> DataFrame:
+def reading_levels(documents: DataFrame, labels: DataFrame, *, doc_id: Column, text: Column, label_id: Column, level: Column, passes: int = PASSES, min_words: int = MIN_WORDS, adverts: frozenset[str] = frozenset()) -> DataFrame:
     """(doc_id, level, words, share): of every document with at least min_words spoken words.
 
     share is that of the document's words whose passages are of that level. All labelled documents
     are used; several raters of one average (between two levels: half to each); labels out of 1..3
     or null, and of documents that aren't there, count for nothing. Without any usable label, length
     decides nothing either and every level is as likely: level 1 comes out. Ties go to the lower
-    level. Null and empty texts have no words. Documents that repeat an id give a row each.
+    level. Null and empty texts have no words. Documents that repeat an id give a row each. adverts:
+    openers of lines that aren't speech, besides those that are known.
     """
     spark = documents.sparkSession
-    coded = materialize(coded_words(documents, doc_id, text), "words")
+    coded = materialize(coded_words(documents, doc_id, text, adverts), "words")
     lab = labels.select(label_id.cast("bigint").alias("doc_id"), level.cast("double").alias("l")).where(f"l between 1 and {LEVELS}").groupBy("doc_id").agg(F.avg("l").alias("l"))
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +272,8 @@ def reading_levels(documents: DataFrame, labels: DataFrame, *, doc_id: Column, t
 
 
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_label"), doc_id=F.col("doc_id"), text=F.col("text"), label_id=F.col("doc_id"), level=F.col("level"))
+    docs = table(spark, sf_dir, "documents")
+    return reading_levels(docs, table(spark, sf_dir, "reading_label"), doc_id=F.col("doc_id"), text=F.col("text"), label_id=F.col("doc_id"), level=F.col("level"), adverts=openers(docs, F.col("text"), F.col("title_id")))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,7 +119,7 @@ def _loose(text: str) -> str:
     return "".join("(?:" + "|".join(re.escape(w) for w in (c, LOST, *MISREAD.get(c, ()))) + ")" if c.isalpha() else re.escape(c) for c in text)
 
 
-#: Words that adverts are told by. A line is an advert if it has a site, or all words of one of the sets.
+#: Words that common adverts are told by; others are learned from the corpus. A line is an advert if it has a site, or all words of one of the sets.
 _ADVERT_WORDS = ("captions", "subtitles", "subtitle", "synced", "sync", "corrected", "by", "presents", "release", "downloaded", "from", "advertise", "product", "support", "vip", "rate", "get", "more")
 _ADVERTS = ("captions by", "subtitles synced", "subtitles by", "synced by", "sync corrected", "corrected by", "presents release", "downloaded from", "advertise product", "support vip", "rate subtitle", "get more captions")
 _SITE = re.compile(rf"(?:www\.|{_loose('www.')}|https?:|{_loose('.example')}\b|\.(?:com|org|net|tv|info)\b)")
@@ -196,6 +196,42 @@ def _is_advert(bits: int) -> bool:
     return bits & _IS_SITE != 0 or any(bits & s == s for s in _SETS)
 
 
+#: What tells openers of adverts from those of speech: cues of a file that count as its edges, cues that a file must have to be asked, and how often, in how many groups of files and with which share at the edges an opener occurs.
+EDGE_CUES, ASKED_CUES = 2, 12
+OFTEN, GROUPS, EDGE_SHARE = 50, 10, 0.6
+
+
+def opener(words: list[Word]) -> str | None:
+    """The skeletons of the first two words of a line; None where they tell too little."""
+    if len(words) < 2:
+        return None
+    two = f"{words[0][1]} {words[1][1]}"
+    return two if len(two) > 3 else None
+
+
+def openers_of(text: str | None) -> list[tuple[str, bool]]:
+    """(opener, whether at an edge of the file) of each line of a file with enough cues."""
+    cues = _cues(_plain(text)) if text else []
+    out: list[tuple[str, bool]] = []
+    if len(cues) < ASKED_CUES:
+        return out
+    look = _WORDS.__getitem__
+    for i, cue in enumerate(cues):
+        edge = i < EDGE_CUES or i >= len(cues) - EDGE_CUES
+        for line in (_MARKUP.sub("", cue) if "<" in cue or "{" in cue else cue).split("\n"):
+            first = [w for w in map(look, line.split(None, 4)[:4]) if w][:2]
+            if (o := opener(first)) is not None:
+                out.append((o, edge))
+    return out
+
+
+def _plain(text: str) -> str:
+    text = repaired(text)
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    return unescape(text) if "&" in text else text
+
+
 def _cues(text: str) -> list[str]:
     """The text of each cue, without its number and times."""
     parts = text.split("-->")
@@ -219,20 +255,15 @@ def _same(a: list[Word], b: list[Word]) -> bool:
     return len(a) == len(b) and all((x[1] == y[1] and (x[1] or x[0][:1] == y[0][:1])) for x, y in zip(a, b))
 
 
-def spoken(text: str | None) -> list[Word]:
-    """The spoken words in order; empty for null, empty and wordless texts.
+def spoken(text: str | None, adverts: frozenset[str] = frozenset()) -> list[Word]:
+    """The spoken words in order; empty for null, empty and wordless texts. adverts: openers of lines that are none (`boilerplate.openers`).
 
     Words are folded (lower case, ss for the sharp s), without punctuation around them and apostrophes; a token without
     letter or digit is no word. A text without any cue time is taken as speech altogether.
     """
     if not text:
         return []
-    text = repaired(text)
-    if "\r" in text:
-        text = text.replace("\r\n", "\n").replace("\r", "\n")
-    if "&" in text:
-        text = unescape(text)
-    text = "\n\x1e\n".join(_cues(text))
+    text = "\n\x1e\n".join(_cues(_plain(text)))
     if "<" in text or "{" in text:
         text = _MARKUP.sub("", text)
     text = _unsung(_SOUND.sub(" ", text))
@@ -254,6 +285,8 @@ def spoken(text: str | None) -> list[Word]:
                     bits |= hints.get(t, 0)
                 if _is_advert(bits):
                     continue
+            if adverts and opener(words) in adverts:
+                continue
             lines.append(words)
         if not lines:
             continue

@@ -2,8 +2,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from quaymark.llm.boilerplate import openers
 from quaymark.llm.leakage import Items, leaks
-from quaymark.llm.subtitles import MISREAD, repaired, skeleton, spoken
+from quaymark.llm.subtitles import MISREAD, opener, repaired, skeleton, spoken
 from quaymark.llm.wumanber import Patterns, _words, padded
 
 
@@ -165,3 +166,25 @@ def test_words_split_and_joined():
 def test_long_markup_and_sounds_go():
     long = "w " * 400
     assert words(f"00:00:01,000 --> 00:00:02,000\n<font {long}>one</font> [{long}] two ({long}) three *{long}* four #{long}# five") == "one two three four five".split()
+
+
+def test_adverts_are_learned_from_where_they_stand(spark):
+    rng = random.Random(11)
+    item = "because the lantern of the village had opened another question about yellow mountains we remember"
+    docs = []
+    for d in range(130):
+        lines = [" ".join(rng.choice(VOCAB) for _ in range(4)) for _ in range(16)]
+        lines[8:8] = ["soldier bridge opened here"]  # speech that many files have, in their midst
+        if d % 2:
+            lines.insert(rng.choice([0, 1, len(lines) - 1]), f"Proudly transcribed tonight for {rng.choice(VOCAB)} fans")
+        if d == 7:
+            w = item.split()
+            lines += [" ".join(w[:7]), "Proudly transcribed tonight", " ".join(w[7:])]
+        docs.append((d, "\n".join(f"{i}\n00:00:01,000 --> 00:00:02,000\n{x}\n" for i, x in enumerate(lines)), f"t{d % 20}"))
+    dd = spark.createDataFrame(docs, "doc_id bigint, text string, title string").repartition(3)
+    known = openers(dd, F.col("text"), F.col("title"))
+    assert known == {opener(spoken("proudly transcribed"))}
+    assert openers(dd, F.col("text"), F.lit("one title")) == openers(dd.limit(0), F.col("text"), F.col("title")) == frozenset()
+    ii = spark.createDataFrame([(3, item)], "item_id bigint, text string")
+    found = lambda **kw: [tuple(r) for r in leaks(dd, ii, doc_id=F.col("doc_id"), text=F.col("text"), item_id=F.col("item_id"), item_text=F.col("text"), **kw).collect()]
+    assert found() == [] and found(adverts=known) == [(7, 3)]
