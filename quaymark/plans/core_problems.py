@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quaymark.functions.columns import message_id, micros, millis_floor, trimmed
 from quaymark.operators import drift
 from quaymark.operators.changes import apply_changes
-from quaymark.operators.dedupe import keep_first, unseen
+from quaymark.operators.dedupe import absorb, keep_first, unseen
 from quaymark.operators.flatten import Child, Shape, flatten, two_decimals
 from quaymark.operators.reconcile import reconcile
 from quaymark.sources.envelopes import arrival_order
@@ -61,6 +61,20 @@ def p4_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep_first(table(spark, sf_dir, "event_envelope"), message_id("event_id"), arrival_order(), copies="copies")
 
 
+#: Shards that are taken in turn at most; more are an error.
+MAX_SHARDS = 1000
+
+
+def p4_absorbed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store holds after the shards' deliveries came to it one shard after the other: of every message the copy that came first, from the first shard that had it."""
+    env = table(spark, sf_dir, "event_envelope").select("event_id", "shard_id", "ingest_ts_millis", "delivery_id").where(message_id("event_id").isNotNull() & F.col("shard_id").isNotNull())
+    shards = sorted(r[0] for r in env.select("shard_id").distinct().limit(MAX_SHARDS + 1).collect())
+    if len(shards) > MAX_SHARDS:
+        raise ValueError(f"more than {MAX_SHARDS} shards")
+    held = absorb([env.where(F.col("shard_id") == s) for s in shards] or [env], message_id("event_id"), arrival_order())
+    return held.select(message_id("event_id").alias("event_id"), "shard_id", "delivery_id")
+
+
 def p4_undispatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of event_envelope that processed_event doesn't hold as dispatched, one copy of each."""
     env = table(spark, sf_dir, "event_envelope").select("event_id", "sm_type", "event_type", "ingest_ts_millis", "delivery_id")
@@ -115,7 +129,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     unified = {f"p3_{t}": _unified(t) for t in ("orders", "order_lines", "claims", "gen_trading_orders", "policies", "loans")}
-    return {"p3_found": p3_found} | unified | {f.__name__: f for f in (p1_found, p4_found, p4_deliveries, p4_undispatched, p6_found, p7_found, p7_state)}
+    return {"p3_found": p3_found} | unified | {f.__name__: f for f in (p1_found, p4_found, p4_deliveries, p4_undispatched, p4_absorbed, p6_found, p7_found, p7_state)}
 
 
 _PAD = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(160)"
@@ -180,6 +194,11 @@ SELECT event_id, sm_type, event_type, delivery_id FROM e
 WHERE rn = 1 AND event_id NOT IN (SELECT lower(trim(event_id, {_PAD})) FROM processed_event WHERE status = 'DISPATCHED')
 """
 
+P4_ABSORBED_SQL = f"""
+SELECT id AS event_id, shard_id, delivery_id FROM (SELECT lower(trim(event_id, {_PAD})) AS id, shard_id, delivery_id,
+  row_number() OVER (PARTITION BY lower(trim(event_id, {_PAD})) ORDER BY shard_id, ingest_ts_millis = 0, ingest_ts_millis, delivery_id) AS rn FROM event_envelope WHERE shard_id IS NOT NULL) WHERE rn = 1 AND id <> ''
+"""
+
 _P7 = """
 WITH base AS (SELECT workflow_id AS entity_id, max(version) AS version, arg_max(state, version) AS state, arg_max(sm_type, version) AS sm_type FROM sm_state GROUP BY 1),
 c AS (SELECT entity_id, coalesce(version, 0) AS version, max(state IS NOT NULL OR model_json IS NOT NULL) AS live,
@@ -192,4 +211,4 @@ P7_STATE_SQL = _P7 + "SELECT entity_id, coalesce(l.version, b.version) AS versio
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p4_deliveries": P4_DELIVERIES_SQL, "p4_undispatched": P4_UNDISPATCHED_SQL, "p7_found": P7_SQL, "p7_state": P7_STATE_SQL}
+    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p4_deliveries": P4_DELIVERIES_SQL, "p4_undispatched": P4_UNDISPATCHED_SQL, "p4_absorbed": P4_ABSORBED_SQL, "p7_found": P7_SQL, "p7_state": P7_STATE_SQL}
