@@ -209,20 +209,37 @@ def opener(words: list[Word]) -> str | None:
     return two if len(two) > 3 else None
 
 
+class _Openers(dict):
+    """The opener of two tokens."""
+
+    LIMIT = 400_000
+
+    def __missing__(self, two: tuple[str, str]) -> str | None:
+        words = [w for w in map(_WORDS.__getitem__, two) if w]
+        if len(self) >= self.LIMIT:
+            self.clear()
+        got = self[two] = opener(words) if len(words) == 2 else None
+        return got
+
+
+_OPENERS = _Openers()
+#: Two tokens that begin a line, the first with a letter, after other signs and mark-up.
+_OPENING = re.compile(r"^(?:[^\w\n<{]|<[^<>\n]*>|\{[^{}\n]*\})*([^\W\d_]\S*)[ \t]+(\S+)", re.M)
+
+
 def openers_of(text: str | None) -> list[tuple[str, bool]]:
     """(opener, whether at an edge of the file) of each line of a file with enough cues, as the text stands: wrong tables hardly touch two words."""
-    cues = _cues(text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text) if text else []
-    out: list[tuple[str, bool]] = []
-    if len(cues) < ASKED_CUES:
-        return out
-    look = _WORDS.__getitem__
-    for i, cue in enumerate(cues):
-        edge = i < EDGE_CUES or i >= len(cues) - EDGE_CUES
-        for line in (_MARKUP.sub("", cue) if "<" in cue or "{" in cue else cue).split("\n"):
-            first = [w for w in map(look, line.split(None, 4)[:4]) if w][:2]
-            if (o := opener(first)) is not None:
-                out.append((o, edge))
-    return out
+    if not text or text.count("-->") < ASKED_CUES:
+        return []
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    head, tail = 0, len(text)
+    for _ in range(EDGE_CUES + 1):  # the times of the first cue that is no edge, and of the last
+        head = text.find("-->", head) + 3
+    for _ in range(EDGE_CUES):
+        tail = text.rfind("-->", 0, tail)
+    get = _OPENERS.__getitem__
+    return [(o, m.start() < head or m.start() > tail) for m in _OPENING.finditer(text) if (o := get(m.groups())) is not None]
 
 
 def _plain(text: str) -> str:
