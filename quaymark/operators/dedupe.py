@@ -61,10 +61,14 @@ def unseen(batch: DataFrame, key: Column, seen: DataFrame, seen_key: Column, ord
 
 
 def absorb(batches: Sequence[DataFrame], key: Column, order: Sequence[Column]) -> DataFrame:
-    """Batches taken in turn, each against all that came before: what a store holds at the end."""
+    """Batches taken in turn, each against all that came before: what a store holds at the end.
+
+    What a batch adds is written once, beside what the batches before it added.
+    """
     held = None
     for b in batches:
-        held = keep_first(b, key, order) if held is None else materialize(held.unionByName(unseen(b, key, held, key, order)), "absorb")
+        new = materialize(keep_first(b, key, order) if held is None else unseen(b, key, held, key, order), "absorbed")
+        held = new if held is None else held.unionByName(new)
     if held is None:
         raise ValueError("no batch")
     return held
