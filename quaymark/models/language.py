@@ -6,9 +6,13 @@ and functions are read over; their bodies aren't kept. Every error names file, l
 
 from __future__ import annotations
 
+import os
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyarrow import fs
+
 
 class ModelError(ValueError):
     pass
@@ -275,6 +279,22 @@ def merged(models: list[Model]) -> Model:
     return out
 
 
+
+def scanned(folders: Sequence[str], suffix: str = ".pure") -> Model:
+    """The models of all files below the folders, in order of their paths, merged. A folder that isn't there, or has no such file, is an error."""
+    models = []
+    for folder in folders:
+        where, root = (fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), os.path.abspath(folder)))
+        found = where.get_file_info(fs.FileSelector(root, recursive=True)) if where.get_file_info(root).type == fs.FileType.Directory else []
+        paths = sorted(i.path for i in found if i.type == fs.FileType.File and i.path.endswith(suffix))
+        if not paths:
+            raise ModelError(f"{folder}: no {suffix} file")
+        for path in paths:
+            with where.open_input_stream(path) as f:
+                models.append(parse(f.read().decode(), path))
+    return merged(models)
+
+
 #: The built-in types. Fixed values.
 PRIMITIVES = ("String", "Integer", "Float", "Decimal", "Boolean", "Date", "StrictDate", "DateTime", "Number")
 

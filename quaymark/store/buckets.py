@@ -69,6 +69,10 @@ class BucketTable:
         self._stand(batch_id, now["buckets"] | {k: [*now["buckets"].get(k, []), p] for k, p in filled.items()})
         return True
 
+    def expire(self, column: str, before: object) -> None:
+        """Rows whose column lies before that go; rows without it stay."""
+        self.apply(None, lambda now, _: now.where(F.col(column).isNull() | (F.col(column) >= F.lit(before))))
+
     def compact(self) -> None:
         """Each bucket in one piece again, after many appends."""
         self.apply(None, lambda now, _: now)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,3 +133,34 @@ class StateStore:
                 t.apply(old, lambda now, _, cond=cond: now.where(~cond))
             gone += n
         return gone
+
+
+class TraceWriter:
+    """Traces one by one, written in batches: when `batch` of them wait, or the oldest has waited for `wait_ms`. Beyond `most` waiting ones new traces are dropped and counted, so that tracing never holds up what is traced."""
+
+    def __init__(self, store: StateStore, batch: int = 500, wait_ms: int = 50, most: int = 100_000, basis_points: int = 10_000, clock: Callable[[], float] = time.monotonic) -> None:
+        self.store, self.batch, self.wait_ms, self.most, self.basis_points, self.clock = store, batch, wait_ms, most, basis_points, clock
+        self.waiting: list[tuple] = []
+        self.since: float | None = None
+        self.dropped = 0
+
+    def offer(self, *row: object) -> bool:
+        """A row as TRACE names it. False if it was dropped."""
+        if len(self.waiting) >= self.most:
+            self.dropped += 1
+            return False
+        self.since = self.clock() if self.since is None else self.since
+        self.waiting.append(row)
+        return True
+
+    def due(self) -> bool:
+        return len(self.waiting) >= self.batch or (self.since is not None and (self.clock() - self.since) * 1000 >= self.wait_ms)
+
+    def flush(self) -> int:
+        """Writes all that wait; what can't be written waits on. Returns how many were written."""
+        rows = list(self.waiting)
+        if rows:
+            self.store.append_traces(self.store.spark.createDataFrame(rows, TRACE), self.basis_points)
+            del self.waiting[: len(rows)]
+        self.since = self.clock() if self.waiting else None
+        return len(rows)

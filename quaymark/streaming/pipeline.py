@@ -54,6 +54,12 @@ def time_table(spark: SparkSession, start_ms: int, end_ms: int, every_ms: int) -
     return spark.range(-(-start_ms // every_ms), -(-end_ms // every_ms)).select(F.timestamp_millis(n).alias("ts"))
 
 
+def repeated(spark: SparkSession, every: str, action: Callable[[int], object], checkpoint: str):  # noqa: ANN201
+    """Runs action(batch number) every so often, as a streaming query that can be stopped and, after a restart, goes on counting. A run that takes longer delays the next."""
+    rate = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return rate.writeStream.foreachBatch(lambda _, i: action(i)).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def folded(d: DataFrame, spec: Transitions, key: str, event: str, order: str, idle_ms: int | None = None) -> DataFrame:
     """The state of each key after every micro-batch (update mode). A key without events for idle_ms is forgotten, with a last row (expired); its next event begins anew. Then the query runs batches without data as well, so it needs a trigger other than availableNow."""
     fold, out, held = streaming_fold(spec, event, order, idle_ms)

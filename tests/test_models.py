@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaymark.models import mapping
-from quaymark.models.language import ModelError, Resolved, merged, parse
+from quaymark.models.language import ModelError, Resolved, merged, parse, scanned
 from quaymark.models.machines import declared_events, machines
 
 HARBOUR = """###Pure
@@ -104,6 +104,19 @@ def test_conflicting_files():
         merged([parse("Enum a::E { A }"), parse("Enum a::E { B }")])
 
 
+def test_scanned_folders(tmp_path):
+    for name, text in (("a/harbour.pure", HARBOUR), ("b/deep/units.pure", UNITS), ("b/again.pure", UNITS), ("b/notes.txt", "no model")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    model = scanned([str(tmp_path / "a"), f"file://{tmp_path}/b"])
+    assert set(model.classes) == set(harbour().model.classes)
+    (tmp_path / "b/bad.pure").write_text("Class a::A {")
+    with pytest.raises(ModelError, match="bad.pure:"):
+        scanned([str(tmp_path / "b")])
+    with pytest.raises(ModelError, match="no .pure file"):
+        scanned([str(tmp_path / "none")])
+
+
 MACHINE = """Class <<x::sm.root>> { x::sm.type = 'claim', x::sm.initial = 'NEW', x::sm.transitions = 'NEW -file-> OPEN : File; OPEN -pay-> PAID; OPEN -drop-> GONE',
   x::sm.locks = 'file, pay: policy:{policyId}, other:{id}', x::sm.statusProperty = 'status', x::sm.idProperty = 'id' } m::Claim { id: String[1]; status: String[1]; }
 Class m::File { policyId: String[1]; }"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quaymark.store.buckets import BucketTable
 from quaymark.store.runs import MARK, RunStore
-from quaymark.store.states import STATE, TRACE, StateStore
+from quaymark.store.states import STATE, TRACE, StateStore, TraceWriter
 
 T0 = dt.datetime(2031, 4, 5, 6, 0)
 
@@ -104,6 +104,20 @@ def test_bucket_table_emptied_and_filled(spark, tmp_path):
     assert not t.apply(row(("c", 1)), lambda now, new: now.unionByName(new), 5)
     assert t.apply(None, lambda now, _: now.where("false")) and t.read().count() == 0
     assert t.append(row(("a", 3), ("a", 4))) and t.append(row(("a", 5))) and got(t.read(), "n") == [3, 4, 5]
+    t.append(row(("b", None)))
+    t.expire("n", 5)
+    assert {(r.k, r.n) for r in t.read().collect()} == {("a", 5), ("b", None)}
+
+
+def test_traces_are_written_in_batches(spark, store):
+    t = [0.0]
+    w = TraceWriter(store, batch=3, wait_ms=50, most=4, clock=lambda: t[0])
+    assert not w.due() and w.flush() == 0
+    assert w.offer(*trace("a", 0, "DONE")) and not w.due()
+    t[0] = 0.06
+    assert w.due() and w.flush() == 1 and not w.due()
+    assert [w.offer(*trace(f"b{i}", i, "DONE")) for i in range(6)] == [True] * 4 + [False] * 2 and w.dropped == 2 and w.due()
+    assert w.flush() == 4 and store.traces.read().count() == 5
 
 
 def test_runs(spark, tmp_path):

@@ -1,10 +1,11 @@
 import json
+import time
 
 from pyspark.sql import functions as F
 
 from quaymark.operators.machine_fold import Transitions
 from quaymark.store.buckets import VersionedTable
-from quaymark.streaming.pipeline import bars, deduplicated, deliver, envelopes, folded, kafka_options, live_history, per_window, snapshot_topics, split_bad, time_table
+from quaymark.streaming.pipeline import bars, deduplicated, deliver, envelopes, folded, kafka_options, live_history, per_window, repeated, snapshot_topics, split_bad, time_table
 
 SPEC = Transitions.parse("NEW", "NEW -open-> OPEN; OPEN -pay-> PAID")
 
@@ -156,3 +157,15 @@ def test_idle_keys_expire(spark, tmp_path):
 
 def test_time_table(spark):
     assert [r.ms for r in time_table(spark, 1500, 4000, 1000).selectExpr("unix_millis(ts) as ms").orderBy("ms").collect()] == [2000, 3000]
+
+
+def test_repeated(spark, tmp_path):
+    seen = []
+    q = repeated(spark, "1 second", seen.append, str(tmp_path / "cp"))
+    try:
+        end = time.time() + 40
+        while len(seen) < 3 and time.time() < end:
+            time.sleep(0.2)
+        assert seen[:3] == [0, 1, 2] and q.exception() is None
+    finally:
+        q.stop()
