@@ -9,7 +9,6 @@ from decimal import Decimal, InvalidOperation
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from quaymark.operators.structural import OBJECT, PRIMITIVE, STRING, Index
 

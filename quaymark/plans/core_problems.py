@@ -173,6 +173,34 @@ UNION ALL SELECT t, r, 'added', name, '' FROM come WHERE (t, r, name) NOT IN (SE
 UNION ALL SELECT o.t, o.r, 'retyped', a.name, '' FROM o JOIN c a ON a.t = o.t AND a.r = o.r0 JOIN c b ON b.t = o.t AND b.r = o.r AND b.name = a.name WHERE a.type <> b.type
 """
 
+def _list_of(x: str, *item: str) -> str:
+    """The JSON values that x stands for: a list's elements, an item alone, else the list or objects that a wrapper holds; JSON in a string is opened."""
+    opened = f"(CASE WHEN json_type({x}) = 'VARCHAR' AND json_valid({x} ->> '$') THEN CAST({x} ->> '$' AS JSON) ELSE {x} END)"
+    own = " OR ".join(f"json_exists({opened}, '$.{i}')" for i in item)
+    inner = f"map_values(CAST({opened} AS MAP(varchar, JSON)))"
+    listed = f"list_filter({inner}, lambda e: json_type(e) = 'ARRAY')"
+    return f"""(CASE json_type({opened}) WHEN 'ARRAY' THEN CAST({opened} AS JSON[]) WHEN 'OBJECT' THEN CASE WHEN {own} THEN [{opened}] WHEN len({listed}) > 0 THEN CAST({listed}[1] AS JSON[]) ELSE list_filter({inner}, lambda e: json_type(e) = 'OBJECT') END ELSE [] END)"""
+
+
+P6_SQL = f"""
+WITH e AS (SELECT lower(trim(event_id, {_PAD})) AS id, sm_type, event_type, payload, row_number() OVER (PARTITION BY lower(trim(event_id, {_PAD})) ORDER BY ingest_ts_millis = 0, ingest_ts_millis, delivery_id) AS rn
+  FROM event_envelope WHERE event_type = 'OrderCreateEvent' OR (sm_type = 'claim' AND event_type = 'file')),
+j AS (SELECT id, event_type, CAST(CASE WHEN json_valid(payload) THEN payload END AS JSON) AS p FROM e WHERE rn = 1 AND id <> ''),
+o AS (SELECT id, event_type, CASE WHEN json_type(p) = 'VARCHAR' AND json_valid(p ->> '$') THEN CAST(p ->> '$' AS JSON) ELSE p END AS p FROM j),
+l AS (SELECT id, generate_subscripts(x, 1) - 1 AS i, unnest(x) AS v FROM (SELECT id, {_list_of("json_extract(p, '$.lines')", "sku", "product", "components")} AS x FROM o WHERE event_type = 'OrderCreateEvent' AND json_type(p) = 'OBJECT')),
+k AS (SELECT id, i, generate_subscripts(x, 1) - 1 AS n, unnest(x) AS v FROM (SELECT id, i, {_list_of("json_extract(v, '$.components')", "sku", "product")} AS x FROM l)),
+c AS (SELECT id, generate_subscripts(x, 1) - 1 AS i, unnest(x) AS v FROM (SELECT id, {_list_of("json_extract(p, '$.claimed')", "amount", "money")} AS x FROM o WHERE event_type = 'file' AND json_type(p) = 'OBJECT')),
+s AS (SELECT trim(entity_id, {_PAD}) AS id, CAST(CASE WHEN json_valid(model_json) THEN model_json END AS JSON) AS p FROM entity_snapshot WHERE sm_type = 'gen_trading_order' AND entity_id IS NOT NULL AND (state IS NOT NULL OR model_json IS NOT NULL)
+  QUALIFY row_number() OVER (PARTITION BY trim(entity_id, {_PAD}) ORDER BY coalesce(version, 0) DESC, published_at DESC, topic_partition DESC, topic_offset DESC) = 1),
+x AS (SELECT id, generate_subscripts(x, 1) - 1 AS i, unnest(x) AS v FROM (SELECT id, {_list_of("json_extract(p, '$.executions')", "fills")} AS x FROM s WHERE json_type(p) = 'OBJECT')),
+f AS (SELECT id, i, generate_subscripts(x, 1) - 1 AS n, unnest(x) AS v FROM (SELECT id, i, {_list_of("json_extract(v, '$.fills')", "fillId")} AS x FROM x)),
+r AS (SELECT id AS record_id, 'lines' AS child_path, CAST(i AS varchar) AS idx, coalesce(v ->> '$.sku', v ->> '$.product.sku') AS item FROM l
+  UNION ALL SELECT id, 'lines.components', i || '.' || n, coalesce(v ->> '$.sku', v ->> '$.product.sku') FROM k
+  UNION ALL SELECT id, 'claimed', CAST(i AS varchar), CAST(CAST(round(try_cast(coalesce(v ->> '$.amount', v ->> '$.money.amount') AS decimal(38, 8)), 2) AS decimal(38, 2)) AS varchar) FROM c
+  UNION ALL SELECT id, 'executions.fills', i || '.' || n, v ->> '$.fillId' FROM f)
+SELECT * FROM r WHERE item IS NOT NULL
+"""
+
 P4_SQL = f"""
 WITH e AS (SELECT lower(trim(event_id, {_PAD})) AS id, delivery_id, ingest_ts_millis AS ms FROM event_envelope),
 p AS (SELECT lower(trim(event_id, {_PAD})) AS id, epoch_us(received_at) AS us FROM processed_event)
@@ -211,4 +239,4 @@ P7_STATE_SQL = _P7 + "SELECT entity_id, coalesce(l.version, b.version) AS versio
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p4_deliveries": P4_DELIVERIES_SQL, "p4_undispatched": P4_UNDISPATCHED_SQL, "p4_absorbed": P4_ABSORBED_SQL, "p7_found": P7_SQL, "p7_state": P7_STATE_SQL}
+    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p6_found": P6_SQL, "p4_found": P4_SQL, "p4_deliveries": P4_DELIVERIES_SQL, "p4_undispatched": P4_UNDISPATCHED_SQL, "p4_absorbed": P4_ABSORBED_SQL, "p7_found": P7_SQL, "p7_state": P7_STATE_SQL}
