@@ -80,20 +80,22 @@ class Files:
     def delete(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
 
-    def delete_at_end(self, path: str) -> None:
-        """When the driver's JVM ends."""
-        self._fs.deleteOnExit(self._path(path))
+    def make_until_end(self, folder: str) -> None:
+        """A folder that goes, with all that is in it, when the driver's JVM ends. It must be there to be marked."""
+        self._fs.mkdirs(self._path(folder))
+        if not self._fs.deleteOnExit(self._path(folder)):
+            raise OSError(f"{folder} can't be marked for deletion")
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder for what this driver writes; it goes when the driver ends, on any file system."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    Files(spark, path).delete_at_end(path)
-    return path
+    """An empty folder in the shared one for what this driver writes; it goes when the driver ends, on any file system."""
+    folder = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    Files(spark, folder).make_until_end(folder)
+    return folder
 
 
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     """Write df once to the shared folder and read it back: cuts the lineage and survives a lost executor."""
-    path = scratch(df.sparkSession, label)
+    path = f"{scratch(df.sparkSession, label)}/rows"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
