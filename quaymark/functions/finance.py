@@ -18,3 +18,8 @@ def slippage_bps(side: Column, price: Column, mark: Column) -> Column:
 
 def move_pct(now: Column, then: Column) -> Column:
     return (now - then) / F.nullif(then, F.lit(0)) * 100
+
+
+def quotient(part: Column, whole: Column) -> Column:
+    """part / whole of doubles as SQL over IEEE numbers has it: over 0 an infinity, 0 / 0 NaN, never an error; null where either is."""
+    return F.when(whole == 0, part * F.pow(whole, F.lit(-1.0))).otherwise(part / whole)

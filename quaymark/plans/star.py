@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaymark.functions.columns import micros
-from quaymark.functions.finance import slippage_bps
+from quaymark.functions.finance import quotient, slippage_bps
 from quaymark.functions.text import log_filter, normalized_message
 from quaymark.operators import ranks, series
 from quaymark.operators.asof import asof_join
@@ -119,8 +119,8 @@ def vwap_vs_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_trunc("day", "ts").cast("timestamp_ntz")
     j = o.join(b, (F.col("user_id") == F.col("u")) & F.col("d").between(day, F.col("ts") + F.expr("interval 3 days")), "left")
     m = F.sum("v") / F.nullif(F.sum("n"), F.lit(0))
-    a = F.first("value")
-    return j.groupBy("event_id").agg(a.alias("arrival"), F.coalesce(F.sum("n"), F.lit(0)).alias("market_n"), F.round(m, 8).alias("market_avg"), F.round((m - a) / a * 10000, 7).alias("shortfall_bps"))
+    a = F.first("value", ignorenulls=True)
+    return j.groupBy("event_id").agg(a.alias("arrival"), F.coalesce(F.sum("n"), F.lit(0)).alias("market_n"), F.round(m, 8).alias("market_avg"), F.round(quotient(m - a, a) * 10000, 7).alias("shortfall_bps"))
 
 
 @query("""WITH q AS (SELECT user_id, arg_max(value, ts) AS mark FROM events WHERE event_type = 'view' GROUP BY 1), p AS (SELECT user_id, coalesce(sum(value) FILTER (WHERE event_type = 'purchase'), 0) AS bought, coalesce(sum(value) FILTER (WHERE event_type = 'click'), 0) AS sold FROM events GROUP BY 1)
